@@ -12,6 +12,8 @@ ITEMS_PER_BUCKET = 20_000
 #: Sources up to which the table of sources is broadcast (about 200 bytes each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 5_000
 CAP = 3
+#: Documents at the end of a source's last pass that are passed over as too long before the best fit is looked for.
+SKIPS = 3
 
 
 def cyclic_schedule(rank: Column, cycle: int = 3) -> Column:
@@ -91,8 +93,8 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
     positions array<double> (training time from 0 to 1 of each copy).
 
     A source's documents stand in an order drawn by hash. Whole passes over it are taken as often as they fit in the
-    target, then a beginning of one more pass, then the one later document that comes nearest to what is left, if it
-    brings the sum nearer. Documents are taken whole. A copy's position is the time at which the source's schedule has
+    target, then a beginning of one more pass, in which SKIPS documents too long for what is left are passed over, then
+    the one document that comes nearest to what is left, if it brings the sum nearer. Documents are taken whole. A copy's position is the time at which the source's schedule has
     demanded the words before it. Null and blank texts have size 0; a null source is a source of its own, last in order;
     null ids are ordinary. An empty table gives an empty plan. Equal rows are taken together, so reruns agree.
 
@@ -124,14 +126,23 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
     placed = placed.join(small(s), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     passes = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     placed = placed.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    placed = placed.withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("words") > 0))
+    placed = placed.withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("words") > 0)).withColumn("skipped", F.lit(False))
+    order = F.struct("u", "doc_id", "text_hash")
+    for _ in range(SKIPS):  # the first document that does not fit is passed over, and those after it move up
+        placed = materialize(placed, "mix-placed")
+        over = placed.where("not more and not skipped and words > 0").groupBy(F.col("source").alias("x_source"))
+        over = over.agg(F.min(order).alias("x"), F.min_by("words", order).alias("x_words"))
+        placed = placed.join(small(over), F.col("source").eqNullSafe(F.col("x_source")), "left")
+        after = F.coalesce(order > F.col("x"), F.lit(False))
+        at = F.coalesce(order.eqNullSafe(F.col("x")), F.lit(False))
+        placed = placed.withColumn("before", F.when(after, F.col("before") - F.col("x_words")).otherwise(F.col("before"))).withColumn("skipped", F.col("skipped") | at)
+        placed = placed.withColumn("more", F.col("more") | (after & ~F.col("skipped") & (F.col("words") > 0) & (F.col("before") + F.col("words") <= F.col("rest")))).drop("x", "x_words", "x_source")
     placed = materialize(placed, "mix-placed")
 
     left = placed.groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("words"))), F.lit(0))).alias("left"))
     left = left.withColumnRenamed("source", "l_source")
     fit = placed.where("not more and words > 0").join(small(left), F.col("source").eqNullSafe(F.col("l_source"))).where("words < 2 * left")
-    fit = fit.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("left")).alias("d"), "u", "doc_id", "text_hash")).alias("fit"))
-    fit = fit.withColumnRenamed("source", "f_source")
+    fit = fit.groupBy(F.col("source").alias("f_source")).agg(F.min(F.struct(F.abs(F.col("words") - F.col("left")).alias("d"), "u", "doc_id", "text_hash")).alias("fit"))
     plan = placed.join(small(fit), F.col("source").eqNullSafe(F.col("f_source")), "left")
     chosen = F.coalesce((F.col("fit.u") == F.col("u")) & F.col("fit.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("fit.text_hash") == F.col("text_hash")), F.lit(False))
     plan = plan.withColumn("copies", F.col("passes") + (F.col("more") | chosen).cast("long"))
