@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +16,6 @@ from pyspark.sql import types as T
 #: A word, as every contract of this subpackage defines it. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Entries that a worker's word cache may hold before it starts anew.
-CACHE_ENTRIES = 300_000
 
 _scratch: dict[str, str] = {}
 
@@ -50,7 +47,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,17 +75,93 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash, remembered; cleared when it grows past CACHE_ENTRIES."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_BASE = np.uint64(0xD1342543DE82EF95)
+_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_POWERS = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """_BASE to the powers 0 to n - 1, modulo 2^64."""
+    global _POWERS
+    if len(_POWERS) < n:
+        x = np.full(max(n, 1 << 20), _BASE, np.uint64)
+        x[0] = 1
+        _POWERS = np.cumprod(x)
+    return _POWERS[:n]
+
+
+class Words:
+    """The words of some texts: hashes, first and past-the-end bytes in data, and each text's range of words."""
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        self.data, offsets = text_bytes(column)
+        n = len(self.data)
+        space = _SPACE[self.data]
+        opens = np.ones(n + 1, bool)  # what stands before a byte is no part of its word
+        opens[1:] = space
+        opens[offsets] = True
+        closes = np.ones(n, bool)  # likewise behind
+        closes[:-1] = space[1:]
+        closes[offsets[1:][offsets[1:] > 0] - 1] = True
+        self.start = np.flatnonzero(opens[:n] & ~space)
+        self.end = np.flatnonzero(closes & ~space) + 1
+        p = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * p[:n], out=sums[1:])
+        back = _powers_back(n + 1)
+        self.hash = mix64((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        self.range = np.searchsorted(self.start, offsets)
+
+    def __len__(self) -> int:
+        return len(self.range) - 1
+
+    def of_doc(self) -> np.ndarray:
+        """The text's number, for each word."""
+        return np.repeat(np.arange(len(self)), np.diff(self.range))
+
+    def whole(self, k: int) -> np.ndarray:
+        """For each word whether the k words from it on belong to one text; as long as grams(hash, k)."""
+        n = max(0, len(self.hash) - k + 1)
+        return (np.repeat(self.range[1:], np.diff(self.range))[:n] - np.arange(n)) >= k
+
+
+_BACK = np.ones(1, np.uint64)
+
+
+def _powers_back(n: int) -> np.ndarray:
+    """Inverses of _powers."""
+    global _BACK
+    if len(_BACK) < n:
+        x = np.full(max(n, 1 << 20), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+        x[0] = 1
+        _BACK = np.cumprod(x)
+    return _BACK[:n]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column and each text's offsets (one more than texts); a null has none."""
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def slices(b: pa.RecordBatch, text: int, most_bytes: int = 1 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about most_bytes together; a longer text is a part of its own."""
+    _, offsets = text_bytes(b.column(text))
+    at = 0
+    while at < b.num_rows:
+        to = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
+        to = min(max(to, at + 1), at + most_rows, b.num_rows)
+        yield b.slice(at, to - at)
+        at = to
 
 
 MUL = np.uint64(0x9E3779B97F4A7C15)

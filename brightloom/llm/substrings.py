@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import WordHash, binary, grams, map_arrow, materialize, mix64, need
+from brightloom.llm.common import Words, binary, grams, map_arrow, materialize, mix64, need, slices
 
 WINDOW = 13
 #: Words of the sampled grams; a window's anchor is the gram with the least hash of the WINDOW - ANCHOR + 1 in it.
@@ -70,17 +71,19 @@ def _count(parts: int, window: int):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1][~r[2]]) for r in rows], pa.binary()), pa.array([_pack(r[1][r[2]]) for r in rows], pa.binary())], names=["part", "once", "more"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHash(), [], 0
+        held, n = [], 0
         for b in batches:
-            for text in binary(b.column(0)):
-                m = anchors(words.of(text.split()), window)
-                if len(m):
-                    held.append(_slots(np.unique(m)))
-                    n += len(held[-1])
+            for part in slices(b, 0, most_rows=1 << 15):
+                w = Words(part.column(0))
+                m = anchors(w.hash, window)
+                ok = w.whole(window)
+                doc = w.of_doc()[: len(m)][ok].astype(np.uint64)
+                held.append(np.unique(doc << np.uint64(HASH_BITS) | _slots(m[ok])) & np.uint64((1 << HASH_BITS) - 1))
+                n += len(held[-1])
                 if n >= FLUSH:
                     yield from send(held)
                     held, n = [], 0
-        if held:
+        if n:
             yield from send(held)
 
     return f
@@ -117,36 +120,31 @@ def _mark(keep: list[str], shared, window: int, digest: bool):
     """Adds to each document the fragments that may repeat: starts, numbers of windows, anchors."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHash(), np.frombuffer(shared.value, np.uint8)
+        bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                ids = part.column(0).is_valid().to_pylist()
-                n_words, starts, sizes, keys, sha, text = [], [], [], [], [], []
-                for ok, raw, own in zip(ids, binary(part.column(1)), part.column(1), strict=True):
-                    w = raw.split()
-                    n_words.append(len(w))
-                    m = anchors(words.of(w), window) if ok else np.empty(0, np.uint64)
-                    slot = (_slots(m) >> np.uint64(HASH_BITS - FILTER_BITS)).astype(np.int64)
-                    may = (bits[slot >> 3] >> (slot & 7)).astype(np.uint8) & 1
-                    at_ = np.flatnonzero(may)
-                    if len(at_):
-                        new = np.ones(len(at_), bool)
-                        new[1:] = (np.diff(at_) != 1) | (m[at_[1:]] != m[at_[:-1]])
-                        run = np.arange(len(at_)) - np.maximum.accumulate(np.where(new, np.arange(len(at_)), 0))
-                        new |= run % RUN == 0
-                        first = np.flatnonzero(new)
-                        starts.append(at_[first])
-                        sizes.append(np.diff(np.append(first, len(at_))))
-                        keys.append(m[at_[first]].view(np.int64))
-                    else:
-                        for x in (starts, sizes, keys):
-                            x.append([])
-                    if digest:
-                        sha.append(None if len(at_) else hashlib.sha256(b" ".join(w)).hexdigest())
-                        text.append(own.as_py() if len(at_) else None)
-                out = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
-                out += [pa.array(sha, pa.string()), pa.array(text, pa.string())] if digest else [pa.nulls(part.num_rows, pa.string()), part.column(1)]
+            for part in slices(b, 1):
+                w = Words(part.column(1))
+                m = anchors(w.hash, window)
+                slot = (_slots(m) >> np.uint64(HASH_BITS - FILTER_BITS)).astype(np.int64)
+                doc = w.of_doc()[: len(m)]
+                known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                may = ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool) & w.whole(window) & known[doc]
+                at = np.flatnonzero(may)
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) != 1) | (m[at[1:]] != m[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+                run = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else at
+                first = np.flatnonzero(new | (run % RUN == 0))
+                cuts = pa.array(np.searchsorted(doc[at[first]], np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [(at[first] - w.range[doc[at[first]]], np.int32), (np.diff(np.append(first, len(at))), np.int32), (m[at[first]].view(np.int64), np.int64)]
+                out = [pa.array(np.diff(w.range), pa.int64()), *(pa.ListArray.from_arrays(cuts, pa.array(x.astype(t))) for x, t in lists)]
+                if digest:
+                    some = np.diff(cuts.to_numpy()) > 0
+                    raw = binary(part.column(1))
+                    sha = [None if x else hashlib.sha256(b" ".join(t.split())).hexdigest() for x, t in zip(some.tolist(), raw, strict=True)]
+                    text = pa.array([t.decode("utf-8", "replace") if x else None for x, t in zip(some.tolist(), raw, strict=True)], pa.string())
+                    out += [pa.array(sha, pa.string()), text]
+                else:
+                    out += [pa.nulls(part.num_rows, pa.string()), part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *out], names=["_id", *keep, "_n", "_starts", "_sizes", "_keys", "_sha", "_text"])
 
     return f
@@ -168,7 +166,11 @@ def _fragments(hot: frozenset[int], window: int, shards: int, contents: bool):
         first: dict[bytes, tuple[int, int]] = {}
 
         def send() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in first.values()], pa.int32()), pa.array([x[1] for x in first.values()], pa.int64()), pa.array(list(first), pa.binary())], names=["shard", "doc", "content"])
+            by: dict[int, list[bytes]] = {}
+            for c, (shard, _) in first.items():
+                by.setdefault(shard, []).append(c)
+            blobs = [_squeeze(np.array([first[c][1] for c in cs], "<i8").tobytes() + b"\n".join(cs)) for cs in by.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([len(x) for x in by.values()], pa.int32()), pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary())], names=["shard", "n", "size", "blob"])
             first.clear()
 
         for b in batches:
@@ -185,8 +187,9 @@ def _fragments(hot: frozenset[int], window: int, shards: int, contents: bool):
                             for x, v in zip(rows, (rid, doc, s, xxhash.xxh3_128_digest(c)), strict=True):
                                 x.append(v)
                 if not contents and rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["_rid", "doc", "start", "fragment"])
-                if len(first) > 150_000:
+                    key = np.frombuffer(b"".join(rows[3]), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["_rid", "doc", "start", "f1", "f2"])
+                if len(first) > 200_000:
                     yield from send()
         if first:
             yield from send()
@@ -194,6 +197,10 @@ def _fragments(hot: frozenset[int], window: int, shards: int, contents: bool):
     return f
 
 
+def _squeeze(raw: bytes) -> tuple[int, bytes]:
+    return len(raw), pa.Codec("zstd").compress(raw, asbytes=True)
+
+
 class SuffixAutomaton:
     """Of word sequences added in ascending order of document: each state knows the first document it occurs in."""
 
@@ -258,15 +265,22 @@ def _match(window: int):
 
     def f(table: pa.Table) -> pa.Table:
         first: dict[bytes, int] = {}
-        for c, d in zip(table["content"].to_pylist(), table["doc"].to_pylist(), strict=True):
-            if c not in first or d < first[c]:
-                first[c] = d
+        for n, size, blob in zip(table["n"].to_pylist(), table["size"].to_pylist(), table["blob"].to_pylist(), strict=True):
+            raw = pa.Codec("zstd").decompress(blob, size, asbytes=True)
+            for c, d in zip(raw[8 * n :].split(b"\n"), np.frombuffer(raw[: 8 * n], "<i8").tolist(), strict=True):
+                if c not in first or d < first[c]:
+                    first[c] = d
         ordered = sorted(first.items(), key=lambda x: x[1])
-        sam = SuffixAutomaton()
-        for c, d in ordered:
-            sam.add(c.split(b" "), d)
-        keys = [xxhash.xxh3_128_digest(c) for c, _ in ordered]
-        return pa.table({"f": pa.array(keys, pa.binary()), "firsts": pa.array([sam.firsts(c.split(b" "), window) for c, _ in ordered], pa.list_(pa.int64()))})
+        gc.disable()  # states hold no cycles
+        try:
+            sam = SuffixAutomaton()
+            for c, d in ordered:
+                sam.add(c.split(b" "), d)
+            found = [sam.firsts(c.split(b" "), window) for c, _ in ordered]
+        finally:
+            gc.enable()
+        key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(c) for c, _ in ordered]), "<i8").reshape(-1, 2)
+        return pa.table({"g1": pa.array(key[:, 0]), "g2": pa.array(key[:, 1]), "firsts": pa.array(found, pa.list_(pa.int64()))})
 
     return f
 
@@ -332,10 +346,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     limit = max(HOT_ANCHOR, total[0] // 10_000)
     hot = some.select(F.explode("_keys").alias("k")).groupBy("k").count().where(F.col("count") > limit).select("k").collect() if total[0] > limit else []
     hot = frozenset(r["k"] for r in hot)  # at most 10,000
-    contents = map_arrow(some, _fragments(hot, window, shards, True), "shard int, doc long, content binary")
-    answers = contents.groupBy("shard").applyInArrow(_match(window), "f binary, firsts array<long>")
-    places = map_arrow(some, _fragments(hot, window, shards, False), "_rid long, doc long, start int, fragment binary")
-    hits = places.join(answers, F.col("fragment") == F.col("f")).select("_rid", "start", F.transform("firsts", lambda x: F.coalesce(x < F.col("doc"), F.lit(False))).alias("marks"))
+    contents = map_arrow(some, _fragments(hot, window, shards, True), "shard int, n int, size int, blob binary")
+    answers = contents.groupBy("shard").applyInArrow(_match(window), "g1 long, g2 long, firsts array<long>")
+    places = map_arrow(some, _fragments(hot, window, shards, False), "_rid long, doc long, start int, f1 long, f2 long")
+    hits = places.join(answers, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("_rid", "start", F.transform("firsts", lambda x: F.coalesce(x < F.col("doc"), F.lit(False))).alias("marks"))
     spans = hits.where(F.exists("marks", lambda x: x)).groupBy(F.col("_rid").alias("_r")).agg(F.collect_list(F.struct("start", "marks")).alias("_spans"))
     whole = marked.join(spans, F.col("_rid") == F.col("_r"), "left").select(*names.values(), "_n", "_sha", "_text", "_spans")
     last = "kept_sha256" if digest else "text"
