@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from brightloom.llm.bpe import op3_bpe
+from brightloom.llm.minhash import op7_minhash
 from brightloom.llm.mixing import op1_mix
 from brightloom.llm.substrings import op9_substrings
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_bpe": op3_bpe,
+    "op7_minhash": op7_minhash,
     "op9_substrings": op9_substrings,
 }
 ORACLE: dict[str, str] = {}
