@@ -193,21 +193,21 @@ def link_bucket(regs: np.ndarray, sets: list[np.ndarray], own: np.ndarray | None
 def _verify(threshold: int):
     """One task's buckets, or two chunks of one, to edges."""
 
-    def f(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def f(table: pa.Table, loaded: pa.Table) -> pa.Table:
         cid, own = table["cid"].to_numpy(), table["own"].to_numpy()
         which = [table[c].to_numpy() for c in ("band", "c1", "c2")]
         by = np.lexsort((cid, *which[::-1]))
         new = np.ones(len(by), bool)
         new[1:] = np.any([w[by[1:]] != w[by[:-1]] for w in which], axis=0)
         cuts = np.append(np.flatnonzero(new), len(by))
-        shingles, regs = table["shingles"], table["regs"]
+        place = {c: i for i, c in enumerate(loaded["l_id"].to_pylist())}  # rows of one id and set count once
+        shingles, regs = loaded["shingles"], loaded["regs"]
         a, b = [], []
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             at = by[x:y]
             at = at[np.concatenate([[True], cid[at][1:] != cid[at][:-1]])]
-            sets = [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in at]
-            r = np.frombuffer(b"".join([regs[int(i)].as_py() for i in at]), np.uint16).reshape(-1, REGISTERS)
+            sets = [np.frombuffer(shingles[place[c]].as_py(), np.uint64) for c in cid[at].tolist()]
+            r = np.frombuffer(b"".join([regs[place[c]].as_py() for c in cid[at].tolist()]), np.uint16).reshape(-1, REGISTERS)
             for i, j in link_bucket(r, sets, own[at] if which[1][at[0]] != which[2][at[0]] else None, threshold):
                 a.append(cid[at[i]])
                 b.append(cid[at[j]])
@@ -247,17 +247,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     classes = materialize(classes, "near-classes")
 
     banded = materialize(map_arrow(classes.select("cid", "regs"), _bands(), "band long, cid long"), "near-bands")
-    same = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("cid") % F.lit(1 << 40)).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x"))
+    same = F.struct(F.count("*").alias("n"), F.min("cid").alias("least"), F.sum(F.xxhash64("cid") % F.lit(1 << 40)).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("x"))
     buckets = banded.groupBy("band").agg(same.alias("is")).where("is.n > 1")
-    buckets = buckets.groupBy("is").agg(F.min("band").alias("b_band")).select("b_band", F.col("is.n").alias("n"))
+    buckets = buckets.groupBy("is").agg(F.min("band").alias("b_band")).select("b_band", F.col("is.n").alias("n"), F.col("is.least").alias("least"))
     members = banded.join(buckets, F.col("band") == F.col("b_band")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    members = members.select("band", "cid", "n", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
+    members = members.select("band", "cid", "n", "least", "chunks", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
     members = materialize(members, "near-members")
     packs = max(8, members.where(F.col("n") <= SMALL).count() // PACK)
-    alone = F.lit(packs) + F.pmod(F.xxhash64("band", "c1", "c2"), F.lit(1 << 40))
-    members = members.withColumn("task", F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(alone))
+    # buckets of one family share their least member: together, they need each set once
+    alone = F.lit(packs) + F.pmod(F.when(F.col("chunks") == 1, F.xxhash64("least")).otherwise(F.xxhash64("band", "c1", "c2")), F.lit(1 << 40))
+    members = members.withColumn("task", F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("least"), F.lit(packs))).otherwise(alone))
 
     wanted = members.select(F.col("cid").alias("w_cid")).distinct()
     wanted = classes.join(wanted, F.col("cid") == F.col("w_cid")).select("_k1", "_k2", "cid", "regs", F.col("rep._id").alias("rep"))
@@ -266,9 +267,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     sets = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _shingles(shingle, shared), "id long, k1 long, k2 long, shingles binary")
     sets = sets.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("id") == F.col("rep")))
     sets = sets.select(F.col("cid").alias("s_cid"), "regs", "shingles")
-    loaded = members.join(sets, F.col("cid") == F.col("s_cid")).select("task", "band", "c1", "c2", "own", "cid", "regs", "shingles")
-    edges = loaded.groupBy("task").applyInArrow(_verify(threshold), "u long, v long")
-    found = components(edges)
+    loaded = members.select(F.col("task").alias("l_task"), F.col("cid").alias("l_cid")).distinct().join(sets, F.col("l_cid") == F.col("s_cid")).select("l_task", F.col("l_cid").alias("l_id"), "regs", "shingles")
+    edges = members.groupBy("task").cogroup(loaded.groupBy("l_task")).applyInArrow(_verify(threshold), "u long, v long")
+    found = components(materialize(edges, "near-edges"))
 
     classes = classes.select("_k1", "_k2", "cid", "rep").join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     classes = materialize(classes, "near-found")
