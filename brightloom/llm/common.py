@@ -77,6 +77,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_PUNCT = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -97,10 +98,12 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """The words of some texts: hashes, first and past-the-end bytes in data, and each text's range of words."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
+        """lower: A-Z count as a-z; letters: a word is a run of ASCII letters, digits and non-ASCII characters."""
         self.data, offsets = text_bytes(column)
+        self.offsets = offsets
         n = len(self.data)
-        space = _SPACE[self.data]
+        space = (_PUNCT if letters else _SPACE)[self.data]
         opens = np.ones(n + 1, bool)  # what stands before a byte is no part of its word
         opens[1:] = space
         opens[offsets] = True
@@ -113,9 +116,14 @@ class Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * p[:n], out=sums[1:])
         back = _powers_back(n + 1)
-        self.hash = mix64((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums, self._back = sums, back
+        self.hash = self.part(self.start, self.end)
         self.range = np.searchsorted(self.start, offsets)
 
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes: equal bytes, equal hash."""
+        return mix64((self._sums[end] - self._sums[start]) * self._back[start] + (end - start).astype(np.uint64))
+
     def __len__(self) -> int:
         return len(self.range) - 1
 
@@ -209,6 +217,23 @@ def collect_small(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
+
+
+def labelled_sample(labels: DataFrame, label: str, most: int, parts: int = 4, part: int = 2) -> tuple[DataFrame, dict[int, int]]:
+    """Ids and labels of up to ``most`` labelled rows of each class that are not held out, drawn by hash; and class sizes.
+
+    The sample is bounded by the parameter, whatever the input. Rows with a null id or label are left out; an id with
+    several labels has the largest.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part))
+    own = own.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    sizes = {r["y"]: r["count"] for r in own.groupBy("y").count().where("y in (0, 1)").collect()}
+    draw = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64("l_id", F.lit(3)), "l_id").limit(most)
+    return draw(0).union(draw(1)), sizes
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the edges of one partition by stars that join the same nodes: at most a row for each node."""
     parent: dict[int, int] = {}

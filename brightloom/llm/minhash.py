@@ -216,10 +216,10 @@ def _verify(threshold: int):
     return f
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, carry_text: bool = False) -> DataFrame:
     """Classes of near-duplicate documents: links where 100 * intersection >= threshold * union of the shingle sets.
 
-    docs: doc_id long, text, and any other columns, which are kept (but text). Words are split at ASCII white space after
+    docs: doc_id long, text, and any other columns, which are kept (text only with carry_text). Words are split at ASCII white space after
     A-Z were lower-cased; a set holds the distinct runs of ``shingle`` words, or the whole of a shorter text. Adds
     n_shingles long, component_id long (the smallest doc_id reachable by links, itself included), kept boolean (doc_id =
     component_id) and single boolean (true for one row of each component: also one of rows that repeat an id). Texts that
@@ -235,9 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     """
     need(docs, doc_id="long", text="string")
     docs = docs.drop("n_shingles", "component_id", "kept", "single")
-    keep = [c for c in docs.columns if c != "text"]
-    names = {c: f"c{i}" for i, c in enumerate(keep)}
-    fields = ", ".join(f"{names[x.name]} {x.dataType.simpleString()}" for x in docs.schema if x.name != "text")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if carry_text or c != "text"}
+    fields = ", ".join(f"{names[x.name]} {x.dataType.simpleString()}" for x in docs.schema if x.name in names)
     lean = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", *[F.col(c).alias(n) for c, n in names.items()])
     sketched = map_arrow(lean, _sketch(shingle), f"_id long, {fields}, _size long, _k1 long, _k2 long, _regs binary")
     sketched = materialize(sketched.withColumn("_row", F.monotonically_increasing_id()), "near-sketch")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from brightloom.llm.bpe import op3_bpe
 from brightloom.llm.minhash import op7_minhash
 from brightloom.llm.mixing import op1_mix
+from brightloom.llm.quality import op4_quality
 from brightloom.llm.substrings import op9_substrings
+from brightloom.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
     "op9_substrings": op9_substrings,
 }
