@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brightloom.llm.bpe import op3_bpe
+from brightloom.llm.language import op10_language
 from brightloom.llm.minhash import op7_minhash
 from brightloom.llm.mixing import op1_mix
 from brightloom.llm.quality import op4_quality
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
     "op9_substrings": op9_substrings,
+    "op10_language": op10_language,
 }
 ORACLE: dict[str, str] = {}
