@@ -6,6 +6,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ RUN_LEAF = 512
 #: Characters of a document from which its halves become rows of their own, encoded by different tasks.
 SEGMENT_CHARS = 1 << 20
 #: Words that a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Equal neighbouring tokens on each side of a join that settle it.
 AGREE = 4
 WINDOW = 32
@@ -53,7 +54,8 @@ class Encoder:
     def __init__(self, path: str, leaf: int = LEAF_BYTES, run_leaf: int = RUN_LEAF):
         self.tok, self.leaf, self.run_leaf = load(path), leaf, run_leaf
         self.cache: dict[bytes, tuple] = {}
-        self.special = tuple(str(t.content).encode() for t in self.tok.get_added_tokens_decoder().values())
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.names, self.numbers = [self.tok.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
 
     def _library(self, text: str) -> list[tuple[int, int, int]]:
         e = self.tok.encode(text, add_special_tokens=False)
@@ -102,18 +104,27 @@ class Encoder:
                 best = (i, j)
         return best
 
+    def entry(self, ids: list[int]) -> tuple:
+        """(number of tokens, ids, ids as text, tokens as text)."""
+        return (len(ids), ids, " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+
     def word(self, w: bytes) -> tuple:
-        """(number of tokens, ids, ids as text, tokens as text) of a run, remembered if short."""
-        got = self.cache.get(w)
-        if got is None:
-            text = w.decode("utf-8", "replace")
-            ids = [i for i, _, _ in self.run(text)] if len(text) > self.run_leaf else self.tok.encode(text, add_special_tokens=False).ids
-            got = (len(ids), ids, " ".join(map(str, ids)), " ".join([self.tok.id_to_token(i) for i in ids]))
-            if len(w) <= 64:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[w] = got
-        return got
+        """entry() of a run."""
+        return self.cache.get(w) or self.entry([i for i, _, _ in self.run(w.decode("utf-8", "replace"))])
+
+    def fill(self, words: set[bytes]) -> None:
+        """Remembers the short ones of these runs: those not yet known are encoded in one text, white space between them."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        new = [w for w in words if w not in self.cache and len(w) <= self.run_leaf]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            e = self.tok.encode(" ".join(texts), add_special_tokens=False)
+            opens = np.cumsum([0] + [len(t) + 1 for t in texts])
+            cuts = np.searchsorted(np.array([x for x, _ in e.offsets], np.int64), opens).tolist()
+            ids = e.ids
+            self.cache.update((w, self.entry(ids[a:z])) for w, a, z in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def tree(self, text: bytes) -> tuple[list[bytes], bool, bool]:
         """The runs of a text, and whether white space opens and closes it: halves first, then the join."""
@@ -129,21 +140,29 @@ class Encoder:
             del b[0]
         return a + b, a_open or (not a and b_open), b_close or (not b and a_close)
 
-    def encode(self, text: bytes) -> list[tuple]:
-        """The word() of each run of the text."""
-        cache, word = self.cache.get, self.word
-        return [cache(w) or word(w) for w in self.tree(text)[0]]
+    def encode(self, texts: list[bytes]) -> Iterator[list[tuple]]:
+        """For each text the entries of its runs."""
+        split = [self.tree(t)[0] for t in texts]
+        self.fill(set().union(*split))
+        cache, word = self.cache, self.word
+        for words in split:
+            yield [cache[w] if w in cache else word(w) for w in words]
+
+
+@functools.cache
+def encoder(path: str, leaf: int = LEAF_BYTES, run_leaf: int = RUN_LEAF) -> Encoder:
+    """A worker's encoder: its memory of words outlives a task."""
+    return Encoder(path, leaf, run_leaf)
 
 
 def _encode_batches(path: str, leaf: int, run_leaf: int, digest: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, leaf, run_leaf)
+        enc = encoder(path, leaf, run_leaf)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 n, one, two = [], [], []
-                for text in binary(part.column(0)):
-                    words = enc.encode(text)
+                for words in enc.encode(binary(part.column(0))):
                     n.append(sum([w[0] for w in words]))
                     if digest:
                         one.append(hashlib.sha256(" ".join([w[2] for w in words if w[0]]).encode()).hexdigest())
@@ -161,7 +180,7 @@ def _segments(path: str, run_leaf: int):
     """Rows (doc, seg, text) to rows (doc, seg, parts): runs at the ends with their offsets, and what lies between."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, LEAF_BYTES, run_leaf)
+        enc = encoder(path, LEAF_BYTES, run_leaf)
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
@@ -218,10 +237,10 @@ def join_segments(enc: Encoder, rows: list[dict]) -> list[int]:
 
 def _join_docs(path: str, run_leaf: int, digest: bool):
     def f(table: pa.Table) -> pa.Table:
-        enc = Encoder(path, LEAF_BYTES, run_leaf)
+        enc = encoder(path, LEAF_BYTES, run_leaf)
         rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
         ids = join_segments(enc, rows)
-        tokens = " ".join([enc.tok.id_to_token(i) for i in ids])
+        tokens = " ".join([enc.names[i] for i in ids])
         one = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() if digest else ids
         two = hashlib.sha256(tokens.encode()).hexdigest() if digest else tokens
         return pa.table({"doc": pa.array([rows[0]["doc"]]), "n_tokens": pa.array([len(ids)], pa.int64()), "one": pa.array([one], pa.string() if digest else pa.list_(pa.int32())), "two": pa.array([two], pa.string())})

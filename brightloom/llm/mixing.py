@@ -171,4 +171,4 @@ def op1_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = mix_plan(docs).withColumn("first", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0)))
     plan = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return plan.sort("first").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return plan.sort("first", "doc_id").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
