@@ -24,7 +24,7 @@ HASH_BITS = 48
 FLUSH = 4_000_000
 #: Words of the fragments that one automaton is built from, on average.
 SHARD_WORDS = 100_000
-#: A fragment has at most so many windows.
+#: A fragment has at most so many windows; their marks are the bits of half a long.
 RUN = 32
 #: An anchor with more fragments than this (or a ten-thousandth of all) is dealt out by whole windows instead.
 HOT_ANCHOR = 20_000
@@ -299,12 +299,11 @@ def _cut(keep: list[str], window: int, digest: bool):
                     out.append((sha if sha is not None else hashlib.sha256(b" ".join(raw.split())).hexdigest()) if digest else own.as_py())
                     continue
                 w = raw.split()
-                gone = np.zeros(len(w) + 1, np.int32)
-                for s in spans:
-                    at = s["start"] + np.flatnonzero(s["marks"])
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                gone = np.cumsum(gone[:-1]) > 0
+                code = np.array(spans, np.int64)  # a fragment's start, and a bit for each of its windows
+                row, offset = np.nonzero((code[:, None] >> np.arange(RUN)) & 1)
+                at = (code >> 32)[row] + offset
+                edge = np.bincount(at, minlength=len(w) + 1) - np.bincount(at + window, minlength=len(w) + 1)
+                gone = np.cumsum(edge)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
                 out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "replace"))
@@ -349,8 +348,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     contents = map_arrow(some, _fragments(hot, window, shards, True), "shard int, n int, size int, blob binary")
     answers = contents.groupBy("shard").applyInArrow(_match(window), "g1 long, g2 long, firsts array<long>")
     places = map_arrow(some, _fragments(hot, window, shards, False), "_rid long, doc long, start int, f1 long, f2 long")
-    hits = places.join(answers, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("_rid", "start", F.transform("firsts", lambda x: F.coalesce(x < F.col("doc"), F.lit(False))).alias("marks"))
-    spans = hits.where(F.exists("marks", lambda x: x)).groupBy(F.col("_rid").alias("_r")).agg(F.collect_list(F.struct("start", "marks")).alias("_spans"))
+    hits = places.join(answers, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
+    bit = lambda acc, i: acc.bitwiseOR(F.when(F.get("firsts", i) < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(F.sequence(F.lit(0), F.size("firsts") - 1), F.lit(0).cast("long"), bit)
+    hits = hits.select("_rid", "start", bits.alias("bits")).where("bits <> 0")
+    spans = hits.groupBy(F.col("_rid").alias("_r")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("bits"))).alias("_spans"))
     whole = marked.join(spans, F.col("_rid") == F.col("_r"), "left").select(*names.values(), "_n", "_sha", "_text", "_spans")
     last = "kept_sha256" if digest else "text"
     out = map_arrow(whole, _cut(list(names.values()), window, digest), f"{fields}, n_words long, n_removed long, {last} string")
