@@ -78,7 +78,7 @@ def fit(lists: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], seed: int
     prior = np.clip(sizes.get(1, 0) / total, 1e-4, 1 - 1e-4)
     if not len(lists) or (y == 1).sum() == 0 or (y == 0).sum() == 0:
         return Machine(float(np.log(prior / (1 - prior))), place, np.zeros(1), np.zeros((1, FACTORS)))
-    flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    flat = np.concatenate(lists).astype(np.int64)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     a, b = np.bincount(flat[y[owner] == 1], minlength=BUCKETS), np.bincount(flat[y[owner] == 0], minlength=BUCKETS)
     n = n1 + n0
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     ids, sizes = labelled_sample(labels, "toxic", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(F.broadcast(ids), F.col("d") == F.col("l_id"))
     got = map_arrow(rows.select("text", "y"), _term_lists(), "y int, terms array<int>").toArrow()
-    lists = [np.asarray(x, np.int64) for x in got["terms"].to_pylist()]
+    lists = [x.values.to_numpy() for x in got["terms"]]  # arrays, not Python numbers: the sample is held by the driver
     y = np.array(got["y"].to_pylist(), np.int64)
     order = sorted(range(len(y)), key=lambda i: (int(y[i]), len(lists[i]), lists[i].tobytes()))  # whatever the partitions
     return fit([lists[i] for i in order], y[order], sizes)
