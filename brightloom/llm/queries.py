@@ -9,6 +9,7 @@ from brightloom.llm.lm import op8_lm
 from brightloom.llm.minhash import op7_minhash
 from brightloom.llm.mixing import op1_mix
 from brightloom.llm.neighbours import op6_neighbours
+from brightloom.llm.oracles import SQL
 from brightloom.llm.quality import op4_quality
 from brightloom.llm.substrings import op9_substrings
 from brightloom.llm.toxicity import op5_toxicity
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_language": op10_language,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(SQL)
