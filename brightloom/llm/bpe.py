@@ -262,13 +262,15 @@ def bpe(docs: DataFrame, path: str, digest: bool = False, leaf_bytes: int = LEAF
     need(docs, text="string")
     one, two = ("ids_sha256", "decoded_sha256") if digest else ("token_ids", "decoded")
     docs = docs.drop("n_tokens", one, two)
-    keep = [c for c in docs.columns if c != "text"]
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text"]
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    docs = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
+    keep = list(names.values())
+    fields = [f"{x.name} {x.dataType.simpleString()}" for x in docs.schema if x.name != "text"]
     kind = "string" if digest else "array<int>"
     ddl = ", ".join([*fields, "n_tokens long", f"{one} {kind}", f"{two} string"])
     size = F.coalesce(F.length("text"), F.lit(0))
     if not _any_longer(docs, segment_chars):
-        return map_arrow(docs.select("text", *keep), _encode_batches(path, leaf_bytes, run_leaf, digest), ddl)
+        return map_arrow(docs.select("text", *keep), _encode_batches(path, leaf_bytes, run_leaf, digest), ddl).toDF(*names, "n_tokens", one, two)
     short = map_arrow(docs.where(size <= segment_chars).select("text", *keep), _encode_batches(path, leaf_bytes, run_leaf, digest), ddl)
     from brightloom.llm.common import materialize
 
@@ -280,7 +282,7 @@ def bpe(docs: DataFrame, path: str, digest: bool = False, leaf_bytes: int = LEAF
     parts = map_arrow(cut, _segments(path, run_leaf), "doc long, seg int, head string, tail string, whole boolean, body array<int>, h_ids array<int>, h_from array<int>, h_to array<int>, t_ids array<int>, t_from array<int>, t_to array<int>")
     joined = parts.groupBy("doc").applyInArrow(_join_docs(path, run_leaf, digest), f"doc long, n_tokens long, one {kind}, two string")
     joined = long.drop("text").join(joined, F.col("_doc") == F.col("doc")).select(*keep, "n_tokens", F.col("one").alias(one), F.col("two").alias(two))
-    return short.union(joined)
+    return short.union(joined).toDF(*names, "n_tokens", one, two)
 
 
 def _any_longer(docs: DataFrame, chars: int) -> bool:

@@ -160,10 +160,12 @@ def mix(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed: str =
     name = "position" if "position" not in docs.columns else "mix_position"
     plan = mix_plan(docs, schedule, cap, seed).where("copies > 0")
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("positions").alias("_p"))
-    key = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (key == F.col("_h")))
-    copies = joined.select(*[docs[c] for c in docs.columns], F.explode("_p").alias(name))
-    return copies.sort(name)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    of = lambda c: F.col(names[c])
+    key = F.md5(F.coalesce(of("text"), F.lit("")).cast("binary"))
+    joined = rows.join(plan, of("doc_id").eqNullSafe(F.col("_d")) & of("source").eqNullSafe(F.col("_s")) & (key == F.col("_h")))
+    return joined.select(*names.values(), F.explode("_p").alias("_at")).sort("_at").toDF(*names, name)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
