@@ -6,11 +6,23 @@ columns cost nothing.
 
 from __future__ import annotations
 
+import zlib
+
+#: 2^31 - 1.
+PRIME = 2147483647
+
 
 class Spark:
     def draw(self, stream: str, key: str = "id") -> str:
-        """A number from 0 to 2^32 - 1."""
-        return f"cast(conv(substr(md5(concat(cast({key} as string), ':{stream}')), 1, 8), 16, 10) as bigint)"
+        """A number from 0 to 2^31 - 2: the key, moved by the stream's constants, through two quadratic rounds modulo a prime.
+
+        All steps stay within 63 bits and are plain arithmetic in either engine; a linear step alone would leave
+        neighbouring keys related.
+        """
+        a, b, c, d = (zlib.crc32(f"{stream}/{i}".encode()) % (PRIME - 1) + 1 for i in range(4))
+        x = f"((({key}) % {PRIME} * {a} + {b}) % {PRIME})"
+        y = f"({x} * ({x} + {c}) % {PRIME})"
+        return f"({y} * ({y} + {d}) % {PRIME})"
 
     def pick(self, values: list[str], index: str) -> str:
         return f"element_at(array({', '.join(map(self.text, values))}), cast({index} as int) + 1)"
@@ -43,9 +55,6 @@ class Spark:
 
 
 class Duck(Spark):
-    def draw(self, stream: str, key: str = "id") -> str:
-        return f"cast('0x' || substr(md5(concat(cast({key} as varchar), ':{stream}')), 1, 8) as bigint)"
-
     def pick(self, values: list[str], index: str) -> str:
         return f"list_extract([{', '.join(map(self.text, values))}], cast({index} as int) + 1)"
 
