@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from brightloom.llm.common import Words, held_out, map_arrow, materialize, need,
 #: Longest context in bytes.
 ORDER = 4
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
-#: Contexts that the trie keeps: those seen most often, of all orders. A kept context keeps all its symbols, and the
-#: contexts that end it are kept too, as they are seen at least as often. Bounds the broadcast, whatever the corpus.
+#: Contexts that the broadcast trie has: those seen most often, of all orders. It has all their symbols, and the contexts
+#: that end them too, as they are seen at least as often, so it is exact behind a context of ORDER bytes that it has. All
+#: other positions meet their probabilities, of the whole model, in a join.
 CONTEXTS = 1 << 15
 #: Most frequent words whose counts are broadcast (4 MB); the others meet their counts in a join.
 HEAD = 1 << 18
@@ -86,12 +88,22 @@ def symbols(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, at, np.repeat(np.arange(n), size + 1)
 
 
-def _grams(column: pa.Array) -> np.ndarray:
-    s, at, _ = symbols(Words(column))
+def _mask(n: int) -> int:
+    """The bits of the last n symbols of a gram."""
+    return (1 << (BITS * n)) - 1
+
+
+def _codes(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The grams that end at the given places: ORDER symbols and the one there."""
     code = np.zeros(len(at), np.int64)
     for j in range(ORDER, -1, -1):
         code = code << BITS | s[at - j]
-    return code.view(np.uint64)
+    return code
+
+
+def _grams(column: pa.Array) -> np.ndarray:
+    s, at, _ = symbols(Words(column))
+    return _codes(s, at).view(np.uint64)
 
 
 class Trie:
@@ -102,7 +114,8 @@ class Trie:
     holds with what is left of T and q). The empty context escapes to all symbols not seen at all, equally.
     """
 
-    def __init__(self, order: np.ndarray, code: np.ndarray, node: np.ndarray, symbol: np.ndarray, count: np.ndarray):
+    def __init__(self, order: np.ndarray, code: np.ndarray, node: np.ndarray, symbol: np.ndarray, count: np.ndarray, whole: bool):
+        self.whole = whole  # no context is missing
         n = len(order)
         used = np.unique(np.concatenate([symbol, *[(code >> (BITS * j)) & 511 for j in range(ORDER)], [END, START]]))
         self.map = np.full(START + 1, len(used), np.int64)  # symbols not seen share the last column
@@ -139,22 +152,82 @@ class Trie:
                 logs[m] = np.log10(np.maximum(prob, 1e-300))
         self.logs = logs.ravel()
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of each text with its end."""
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text with its end, without the positions the trie can't tell; their texts and grams."""
         w = Words(column)
         s, at, doc = symbols(w)
-        s = self.map[s]
+        raw, s = s, self.map[s]
         node = self.child[s[at - 1]].astype(np.int64)
         live = node > 0
         for j in range(2, ORDER + 1):
             nxt = self.child[node * self.width + s[at - j]]
             live &= nxt > 0
             node = np.where(live, nxt, node)
-        return np.bincount(doc, self.logs[node * self.width + s[at]].astype(np.float64), len(w))
+        logs = self.logs[node * self.width + s[at]].astype(np.float64)
+        if self.whole:
+            return np.bincount(doc, logs, len(w)), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.bincount(doc, np.where(live, logs, 0.0), len(w)), doc[~live], _codes(raw, at[~live])
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted keys; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.float64)
+
+
+def chances(asked: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each asked gram, as in Trie. levels: of each order, sorted codes with their symbol, and counts."""
+    logs, done = np.zeros(len(asked)), np.zeros(len(asked), bool)
+    kinds_above, count_above = np.zeros(len(asked)), np.zeros(len(asked))  # of the symbols seen in the longer context
+    for k in range(ORDER, -1, -1):
+        code, count = levels[k]
+        contexts, of = np.unique(code >> BITS, return_inverse=True)
+        total, kinds = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
+        gram = asked & _mask(k + 1)
+        c, t, q = _lookup(code, count, gram), _lookup(contexts, total, gram >> BITS), _lookup(contexts, kinds, gram >> BITS)
+        kind = q - kinds_above
+        share = np.where(c > 0, c, kind) / np.maximum(t - count_above + kind, 1)
+        logs += np.where(done | (kind <= 0), 0.0, np.log10(np.maximum(share, 1e-300)))
+        done |= c > 0
+        kinds_above = q
+        if k:
+            count_above = _lookup(contexts, np.bincount(of, _lookup(*levels[k - 1], code & _mask(k)), len(contexts)), gram >> BITS)
+    return logs - np.where(done, 0.0, np.log10(np.maximum(SYMBOLS - kinds_above, 1.0)))
+
+
+def _chances(shared):
+    """Rows (gram, c) of a partition that has all grams of each two last bytes, asked ones with c = 0, to (gram, log)."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        gram, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        asked, gram, c = gram[c == 0], gram[c > 0], c[c > 0]
+        levels = [*shared.value, *(_tally([(gram & _mask(k + 1), c)]) for k in range(len(shared.value), ORDER + 1))]
+        for lo in range(0, len(asked), FLUSH):
+            part = asked[lo : lo + FLUSH]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(chances(part, levels))], names=["gram", "log"])
+
+    return f
+
+
+def gram_logs(asked: DataFrame, model: dict) -> DataFrame:
+    """(gram, log) of each asked gram, once, under the whole model.
+
+    Grams of the training texts and asked ones meet by their contexts' last two bytes; the counts of shorter contexts are
+    broadcast, which are at most 258 * 257.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(model["low"])
+    both = model["grams"].select("gram", "c").union(asked.select("gram").distinct().select("gram", F.lit(0).cast("long")))
+    both = both.repartition(F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(2))))
+    return materialize(map_arrow(both, _chances(shared), "gram long, log double"), "lm-logs")
 
 
 def train(docs: DataFrame) -> dict:
-    """Counts over all rows of docs (text): word counts (a table), their sums, the head, and the trie's arrays."""
+    """Counts over all rows of docs (text): word and gram counts (tables), sums, the words' head, and the trie's arrays."""
     words = map_arrow(docs.select("text"), _counts(_words, ("word", "c")), "word long, c long")
     words = materialize(words.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -174,22 +247,37 @@ def train(docs: DataFrame) -> dict:
         k, ctx, s, c = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([START]), np.zeros(1, np.int64)
     key, node = np.unique(k << (BITS * ORDER) | ctx, return_inverse=True)  # node 0: order 0
     arrays = (key >> (BITS * ORDER), key & ((1 << (BITS * ORDER)) - 1), node, s, c)
+    short = each.where("k < 2").toArrow()
+    k2, g2, c2 = short["k"].to_numpy(), short["ctx"].to_numpy() << BITS | short["s"].to_numpy(), short["c"].to_numpy()
+    low = [_tally([(g2[k2 == n], c2[k2 == n])]) for n in range(2)]
     h = head["word"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return {"words": words, "total": total, "kinds": kinds, "head": (h[order], head["c"].to_numpy()[order]), "trie": arrays}
+    return {"words": words, "total": total, "kinds": kinds, "head": (h[order], head["c"].to_numpy()[order]), "trie": arrays, "whole": len(key) < CONTEXTS, "grams": grams, "low": low}
 
 
 _TRIES: dict[str, Trie] = {}
 
 
+def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> list[pa.Array]:
+    """The distinct values of each of n texts, and how often each is there."""
+    by = np.lexsort((value, doc))
+    doc, value = doc[by], value[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    first = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (value[first], np.diff(np.append(first, len(doc))).astype(np.int32))]
+
+
 def _score(shared, key: str, keep: list[str]):
-    """Rows (text, ...) to (..., tokens, known and log sum of the head's words, score, and the other words with counts)."""
+    """Rows (text, ...) to (..., tokens, known and log sum of the head's words, score of the trie's positions, and the
+    other words and the other positions' grams with counts)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if key not in _TRIES:
             _TRIES.clear()
-            _TRIES[key] = Trie(*model["trie"])
+            _TRIES[key] = Trie(*model["trie"], model["whole"])
         trie, (head, c), total, kinds = _TRIES[key], model["head"], model["total"], model["kinds"]
         floor = total + 0.5 * (kinds + 1)
         logs = np.log10((c + 0.5) / floor)
@@ -204,16 +292,10 @@ def _score(shared, key: str, keep: list[str]):
                 known = head[at] == w.hash if len(head) else np.zeros(len(w.hash), bool)
                 base = np.bincount(doc[known], logs[at[known]], n) + end_log
                 n_known = np.bincount(doc[known], minlength=n) + int(end_known)
-                d, h = doc[~known], w.hash[~known]
-                by = np.lexsort((h, d))
-                d, h = d[by], h[by]
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-                first = np.flatnonzero(new)
-                cuts = pa.array(np.searchsorted(d[first], np.arange(n + 1)).astype(np.int32))
-                rest = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[first].view(np.int64), np.diff(np.append(first, len(d))).astype(np.int32))]
-                out = [pa.array(np.diff(w.range) + 1, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(trie.score(part.column(0))), *rest]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=[*keep, "_n", "_known", "_base", "_score", "_h", "_t"])
+                score, of, gram = trie.score(part.column(0))
+                rest = [*_lists(doc[~known], w.hash[~known].view(np.int64), n), *_lists(of, gram, n)]
+                out = [pa.array(np.diff(w.range) + 1, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), *rest]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=[*keep, "_n", "_known", "_base", "_score", "_h", "_t", "_g", "_u"])
 
     return f
 
@@ -222,37 +304,43 @@ def lm_score(docs: DataFrame, model: dict) -> DataFrame:
     """Scores whole texts: docs without text, with n_tokens, n_known, train_tokens long, base_score and score double.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score: sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) with
-    counts over all training texts. score: log10 probability of the text's bytes and its end under the trie, which does
-    not adapt to the text. Columns of those names in docs are replaced. A null text is empty: its only token is the end.
+    counts over all training texts. score: log10 probability of the text's bytes and its end under the counts of all
+    contexts, which do not adapt to the text. Columns of those names in docs are replaced. A null text is empty: its only token is the end.
     Repeated rows get equal scores. With no training text all counts are 0. An empty table gives an empty result.
 
-    Words are known by 64-bit hashes. The head's counts are broadcast (a fixed number); the other words of each document
-    meet theirs in a join whose volume is in proportion to the documents.
+    Words are known by 64-bit hashes. The counts of the head's words and the trie are broadcast (a fixed number); the other
+    words and byte grams of each document meet theirs in joins whose volume is in proportion to the documents.
     """
     need(docs, text="string")
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in docs.columns if c != "text"]
     names = {c: f"c{i}" for i, c in enumerate(keep)}
     fields = "".join(f"{names[x.name]} {x.dataType.simpleString()}, " for x in docs.schema if x.name != "text")
-    small = {x: model[x] for x in ("total", "kinds", "head", "trie")}
+    small = {x: model[x] for x in ("total", "kinds", "head", "trie", "whole")}
     shared = docs.sparkSession.sparkContext.broadcast(small)
     lean = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
-    key = f"{docs.sparkSession.sparkContext.applicationId}-{id(shared)}-{model['total']}"
-    scored = map_arrow(lean, _score(shared, key, list(names.values())), f"{fields}_n long, _known long, _base double, _score double, _h array<long>, _t array<int>")
+    key = uuid.uuid4().hex
+    scored = map_arrow(lean, _score(shared, key, list(names.values())), f"{fields}_n long, _known long, _base double, _score double, _h array<long>, _t array<int>, _g array<long>, _u array<int>")
     scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     floor = F.lit(model["total"] + 0.5 * (model["kinds"] + 1))
-    rest = scored.where(F.size("_h") > 0).select(F.col("_row").alias("_r"), F.explode(F.arrays_zip("_h", "_t")).alias("x")).select("_r", F.col("x._h").alias("h"), F.col("x._t").alias("t"))
-    rest = rest.join(model["words"], F.col("h") == F.col("word"), "left")
+    listed = lambda v, n: scored.where(F.size(v) > 0).select(F.col("_row").alias("_r"), F.explode(F.arrays_zip(v, n)).alias("x")).select("_r", F.col(f"x.{v}").alias("v"), F.col(f"x.{n}").alias("t"))
+    words = listed("_h", "_t").join(model["words"], F.col("v") == F.col("word"), "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / floor)
-    rest = rest.groupBy("_r").agg(F.sum(F.col("t") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("some"))
-    out = scored.drop("_h", "_t").join(rest, F.col("_row") == F.col("_r"), "left")
+    rest = words.select("_r", (F.col("t") * log).alias("more"), F.when(F.col("c") > 0, F.col("t")).otherwise(0).alias("some"), F.lit(0.0).alias("deep"))
+    if not model["whole"]:
+        grams = listed("_g", "_u")
+        logs = gram_logs(grams.select(F.col("v").alias("gram")), model)
+        grams = grams.join(logs, F.col("v") == F.col("gram"))
+        rest = rest.union(grams.select("_r", F.lit(0.0), F.lit(0), F.col("t") * F.col("log")))
+    rest = rest.groupBy("_r").agg(F.sum("more").alias("more"), F.sum("some").alias("some"), F.sum("deep").alias("deep"))
+    out = scored.drop("_h", "_t", "_g", "_u").join(rest, F.col("_row") == F.col("_r"), "left")
     return out.select(
         *[F.col(n).alias(c) for c, n in names.items()],
         F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("some", F.lit(0))).alias("n_known"),
         F.lit(model["total"]).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("_score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 

@@ -372,6 +372,18 @@ def test_lm_equals_brute_force(docs, rows, empty, clashing):
     assert lm.lm_score(docs, lm.train(empty)).where("train_tokens = 0 and n_known = 0").count() == len(rows)
 
 
+def test_lm_loses_no_context_that_the_trie_lacks(docs, monkeypatch):
+    train = docs.where("doc_id < 20 or doc_id = 50")
+    scores = lambda model: sorted((str(r["doc_id"]), r["score"]) for r in lm.lm_score(docs, model).select("doc_id", "score").collect())
+    whole = scores(lm.train(train))
+    for few in (60, 1):
+        monkeypatch.setattr(lm, "CONTEXTS", few)
+        model = lm.train(train)
+        assert len(model["trie"][0]) == few
+        got = scores(model)
+        assert [x[0] for x in got] == [x[0] for x in whole] and [x[1] for x in got] == pytest.approx([x[1] for x in whole], rel=1e-5)
+
+
 def log_p(table, ctx, symbol):
     seen, p = set(), 1.0
     for k in range(lm.ORDER, -1, -1):
