@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import _BASE, _BYTE, Words, collect_small, held_out, map_arrow, mix64, need, slices
+from brightloom.llm.common import _BASE, _BYTE, Words, collect_small, held_out, map_arrow, materialize, mix64, need, slices
 
 #: Longest piece in bytes; longer ones of the vocabulary play no part.
 PIECE = 8
 #: A word is scored in parts of so many bytes; few words are longer.
 PART = 48
-#: Training documents of each language, about, and their most frequent words, at most.
-SAMPLE, WORDS = 1_000, 60_000
+#: Training documents of each language, about; all their words count.
+SAMPLE = 1_000
 ROUNDS, FLOOR = 3, 1e-7
 LANGUAGES = 1_000
 BATCH = 20_000
@@ -111,54 +111,101 @@ def forward(pieces: Pieces, p: np.ndarray, w: Words, at: np.ndarray) -> np.ndarr
     return out
 
 
-def learn(path: str, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of each language (columns of counts) by expectation maximisation over all segmentations."""
-    pieces = pieces_of(path)
-    langs = counts.shape[1]
+def start(pieces: Pieces, langs: int) -> np.ndarray:
+    """Piece probabilities before the first round, a column for each language."""
     p = np.full((pieces.n + 1, langs), 1.0 / pieces.n)
     p[-1] = 0
     lengths = np.array([len(x) for x in pieces.pieces])
     p[:-1] *= 0.25 ** (1.0 / np.maximum(lengths, 1))[:, None]
-    w = Words(pa.array(words, pa.binary()), lower=True)
+    return p
+
+
+def expect(pieces: Pieces, p: np.ndarray, words: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words, which are there so often (columns: languages)."""
+    langs = counts.shape[1]
+    w = Words(words, lower=True)
     keep = np.flatnonzero((w.end - w.start) > 0)
+    total = np.zeros_like(p)
+    for lo in range(0, len(keep), 5_000):
+        rows = keep[lo : lo + 5_000]
+        start, size, opens, word = _parts(w, rows)
+        owner = rows[word]
+        doc = w.of_doc()[owner]
+        most = int(size.max())
+        found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        alpha = np.zeros((most + 1, len(start), langs))
+        alpha[0] = 1.0
+        for pos in range(most):
+            for k in range(1, min(PIECE, most - pos) + 1):
+                at = np.flatnonzero(size >= pos + k)
+                ids = pieces.find(w, start[at] + pos, k, False)
+                heads = pieces.find(w, start[at], k, True) if pos == 0 else None
+                q = p[ids]
+                if heads is not None:
+                    q = np.where(opens[at, None], q * p[pieces.space] + p[heads], q)
+                alpha[pos + k, at] += alpha[pos, at] * q
+                found.append((pos, k, at, ids, heads))
+        z = np.maximum(alpha[size, np.arange(len(start))], 1e-300)
+        beta = np.zeros_like(alpha)
+        beta[size, np.arange(len(start))] = counts[doc] / z
+        for pos, k, at, ids, heads in reversed(found):
+            b = beta[pos + k, at]
+            inner = p[ids] * np.where(opens[at, None], p[pieces.space], 1.0) if pos == 0 else p[ids]
+            np.add.at(total, ids, alpha[pos, at] * inner * b)
+            if heads is not None:
+                lead = np.where(opens[at, None], p[heads], 0.0)
+                np.add.at(total, heads, alpha[0, at] * lead * b)
+                total[pieces.space] += (alpha[0, at] * inner * b)[opens[at]].sum(0)
+                beta[0, at] += (inner + lead) * b
+            else:
+                beta[pos, at] += inner * b
+    return total
+
+
+def settle(total: np.ndarray) -> np.ndarray:
+    """Probabilities from expected uses."""
+    total[-1] = 0
+    p = total / np.maximum(total.sum(0), 1e-300) + FLOOR
+    p[-1] = 0
+    return p
+
+
+def _expect(shared):
+    """Rows (lang, word, n) to (lang, piece, uses), summed within the task; lang as a number."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, p = shared.value
+        pieces = pieces_of(path)
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            lang = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at, part = int(lang[lo]), b.slice(lo, hi - lo)
+                uses = expect(pieces, p[:, at : at + 1], part.column(1), part.column(2).to_numpy().astype(float)[:, None])[:, 0]
+                totals[at] = totals[at] + uses if at in totals else uses
+        for at, total in totals.items():
+            used = np.flatnonzero(total[:-1] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at, np.int32)), pa.array(used.astype(np.int32)), pa.array(total[used])], names=["lang", "piece", "uses"])
+
+    return f
+
+
+def learn(counted: DataFrame, path: str, langs: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities of each language by expectation maximisation over all segmentations of all words.
+
+    counted: lang int (from 0), word binary, n long, rows of a language together. Words stay where they are; the driver
+    sees the expected uses of pieces only, at most the vocabulary for each language.
+    """
+    pieces = pieces_of(path)
+    p = start(pieces, langs)
     for _ in range(rounds):
+        shared = counted.sparkSession.sparkContext.broadcast((path, p))
+        uses = map_arrow(counted, _expect(shared), "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()
         total = np.zeros_like(p)
-        for lo in range(0, len(keep), 5_000):
-            rows = keep[lo : lo + 5_000]
-            start, size, opens, word = _parts(w, rows)
-            owner = rows[word]
-            doc = w.of_doc()[owner]
-            most = int(size.max())
-            found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-            alpha = np.zeros((most + 1, len(start), langs))
-            alpha[0] = 1.0
-            for pos in range(most):
-                for k in range(1, min(PIECE, most - pos) + 1):
-                    at = np.flatnonzero(size >= pos + k)
-                    ids = pieces.find(w, start[at] + pos, k, False)
-                    heads = pieces.find(w, start[at], k, True) if pos == 0 else None
-                    q = p[ids]
-                    if heads is not None:
-                        q = np.where(opens[at, None], q * p[pieces.space] + p[heads], q)
-                    alpha[pos + k, at] += alpha[pos, at] * q
-                    found.append((pos, k, at, ids, heads))
-            z = np.maximum(alpha[size, np.arange(len(start))], 1e-300)
-            beta = np.zeros_like(alpha)
-            beta[size, np.arange(len(start))] = counts[doc] / z
-            for pos, k, at, ids, heads in reversed(found):
-                b = beta[pos + k, at]
-                inner = p[ids] * np.where(opens[at, None], p[pieces.space], 1.0) if pos == 0 else p[ids]
-                np.add.at(total, ids, alpha[pos, at] * inner * b)
-                if heads is not None:
-                    lead = np.where(opens[at, None], p[heads], 0.0)
-                    np.add.at(total, heads, alpha[0, at] * lead * b)
-                    total[pieces.space] += (alpha[0, at] * inner * b)[opens[at]].sum(0)
-                    beta[0, at] += (inner + lead) * b
-                else:
-                    beta[pos, at] += inner * b
-        total[-1] = 0
-        p = total / np.maximum(total.sum(0), 1e-300) + FLOOR
-        p[-1] = 0
+        total[uses["piece"].to_numpy(), uses["lang"].to_numpy()] = uses["uses"].to_numpy()
+        p = settle(total)
+        shared.destroy()
     return p
 
 
@@ -182,7 +229,7 @@ def _count_words():
     return f
 
 
-def train(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS) -> dict:
+def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict:
     """A model from text and lang of the documents that are not held out: about ``sample`` of each language, drawn by hash."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     sizes = {r["lang"]: r["count"] for r in collect_small(own.groupBy("lang").count(), LANGUAGES, "languages")}
@@ -190,16 +237,13 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS)
     if not langs:
         return {"path": path, "langs": [], "p": None, "prior": None}
     spark = docs.sparkSession
-    share = spark.createDataFrame([(x, min(1.0, sample / sizes[x])) for x in langs], "l string, share double")
+    share = spark.createDataFrame([(x, i, min(1.0, sample / sizes[x])) for i, x in enumerate(langs)], "l string, i int, share double")
     drawn = own.join(F.broadcast(share), F.col("lang") == F.col("l")).where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.col("share"))
     counted = map_arrow(drawn.select("text", "lang"), _count_words(), "lang string, word binary, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(words).toArrow()
-    place: dict[bytes, int] = {}
-    rows = [place.setdefault(x, len(place)) for x in counted["word"].to_pylist()]
-    counts = np.zeros((len(place), len(langs)))
-    counts[rows, [langs.index(x) for x in counted["lang"].to_pylist()]] = counted["n"].to_numpy()
+    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).join(F.broadcast(share), F.col("lang") == F.col("l"))
+    counted = materialize(counted.select(F.col("i").alias("lang"), "word", "n").coalesce(2 * len(langs)).sortWithinPartitions("lang", "word"), "language-words")
     total = sum(sizes.values())
-    return {"path": path, "langs": langs, "p": learn(path, list(place), counts), "prior": np.log([sizes[x] / total for x in langs])}
+    return {"path": path, "langs": langs, "p": learn(counted, path, len(langs)), "prior": np.log([sizes[x] / total for x in langs])}
 
 
 class Scorer:

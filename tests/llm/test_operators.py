@@ -482,6 +482,35 @@ def test_language_holds_out(spark, docs, empty, clashing):
 # pipeline
 
 
+def test_language_keeps_all_words_of_a_small_language(spark, monkeypatch):
+    names = lambda letters, n, seed: [" ".join("".join(random.Random(f"{seed} {i} {k}").choices(letters, k=7)) for k in range(80)) for i in range(n)]
+    big, small = names("abcdefgh", 1200, 1), names("qrstuvwxyz", 5, 2)
+    table = spark.createDataFrame([(i, t, "big" if i < len(big) else "small") for i, t in enumerate(big + small)], "doc_id long, text string, lang string")
+    seen = []
+    learn = language.learn
+    monkeypatch.setattr(language, "learn", lambda counted, *rest: seen.append(counted) or learn(counted, *rest))
+    model = language.train(table, PIECES)
+    words = {x for i, x in ((r["doc_id"], r["text"]) for r in table.where("lang = 'small'").collect()) if zlib.crc32(str(i).encode()) % 5 for x in x.split()}
+    assert words and {bytes(r["word"]).decode() for r in seen[0].where(F.col("lang") == 1).collect()} == words
+    assert seen[0].count() > 60_000
+    got = language.language(table, model).where("lang = 'small'").collect()
+    assert {r["lang_pred"] for r in got} == {"small"}
+
+
+def test_learning_in_parts_equals_learning_at_once(spark):
+    import pyarrow as pa
+
+    words = [(i, "".join(random.Random(f"{i} {k}").choices("abcdeé", k=6)).encode(), k + 1) for i in range(2) for k in range(50)]
+    pieces = language.pieces_of(PIECES)
+    p = language.start(pieces, 2)
+    counts = np.zeros((len(words), 2))
+    counts[range(len(words)), [x[0] for x in words]] = [x[2] for x in words]
+    for _ in range(language.ROUNDS):
+        p = language.settle(language.expect(pieces, p, pa.array([x[1] for x in words], pa.binary()), counts))
+    table = spark.createDataFrame(words, "lang int, word binary, n long").repartition(3).sortWithinPartitions("lang")
+    assert language.learn(table, PIECES, 2) == pytest.approx(p, rel=1e-9)
+
+
 def test_pipeline(spark, sf, docs, rows, clashing, empty):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "token_ids" in out.columns
