@@ -322,12 +322,37 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, clashing, empty):
     assert minhash.near_duplicates(clashing).count() == len(rows) and minhash.near_duplicates(empty).count() == 0
 
 
-def test_large_buckets_are_dealt_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CHUNK", 5)
-    base = prose(100, 31).split()
-    rows = [(i, " ".join(base[:i] + [f"w{i}"] + base[i + 1 :])) for i in range(40)]
-    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
-    assert {r["component_id"] for r in out.collect()} == {0}
+@pytest.mark.parametrize("chunk", [5, 17, 1000])
+def test_large_families_are_dealt_in_chunks(spark, monkeypatch, chunk):
+    """Copies with few changes join the head, others each other only, and some nothing: as by brute force."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    base, r = prose(100, 31).split(), random.Random(5)
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for j in r.sample(range(100), r.choice([1, 2, 4, 6, 9])):
+            w[j] = f"new{i}x{j}"
+        texts.append(" ".join(w))
+        if i % 9 == 0:  # a copy's own copy
+            texts.append(" ".join([*w[:50], "other", *w[51:]]))
+    sets = [shingle_set(t, 4) for t in texts]
+    least = list(range(len(texts)))
+    while True:
+        new = [min(least[j] for j in range(len(sets)) if 100 * len(s & sets[j]) >= 80 * len(s | sets[j])) for s in sets]
+        if new == least:
+            break
+        least = new
+    assert 3 < len(set(least)) < len(least) - 3
+    out = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=4)
+    assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == least
+
+
+def test_overlaps_by_matrices_and_one_by_one():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 5_000, n).astype(np.uint64)) for n in r.integers(1, 900, 60)]
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(25), np.arange(25, 60)))
+    for m in (slice(None), slice(0, 3)):
+        assert minhash.overlaps(sets, u[m], v[m]).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(u[m], v[m], strict=True)]
 
 
 def test_sketches_merge_and_estimate():
@@ -336,8 +361,9 @@ def test_sketches_merge_and_estimate():
     least = lambda x: np.array([(x * s).min() for s in minhash._SEEDS])
     ra, rb, both = (minhash.registers(least(x)) for x in (a, b, np.concatenate([a, b])))
     assert (np.maximum(ra, rb) == both).all()
-    est = minhash.similarity(ra[None], np.array([4000]), both[None], np.array([5000]))[0]
-    assert est == pytest.approx(0.8, abs=0.13)
+    more, less = (ra > both).sum(), (ra < both).sum()  # similarity 0.8
+    reaches = lambda floor: minhash.reaches(np.array([more]), np.array([less]), np.array([4000]), np.array([5000]), floor)[0]
+    assert reaches(0.56) and reaches(0.67) and not reaches(0.799 + 0.13)
 
 
 # 8 LM scoring
