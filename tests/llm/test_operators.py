@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force, exact round trips, and odd rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -160,12 +161,18 @@ def test_vectors_empty_and_clashing(spark, vectors):
 # 3 BPE
 
 
-def library(text):
+@functools.cache
+def library_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
     t.no_truncation()
     t.no_padding()
+    return t
+
+
+def library(text):
+    t = library_tokenizer()
     return t, t.encode(text, add_special_tokens=False).ids
 
 
@@ -174,26 +181,76 @@ def odd_text(r, n):
     return "".join(r.choice(parts) + (" " if r.random() < 0.02 else "") for _ in range(n))
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_tree_equals_the_library(seed):
-    r = random.Random(seed)
-    text = odd_text(r, 700) if seed % 2 else "".join(r.choice("abcdeinghstr") for _ in range(3000))
-    enc = bpe.Encoder(WORD_BPE, leaf=64, run_leaf=40)
-    assert [i for w in next(enc.encode([text.encode()])) for i in w[1]] == library(text)[1]
+#: Other white space, marks that reorder and compose, Hangul letters, Indic vowels, special tokens, contractions.
+POOLS = [" \u0085\u3000\u2003x", "a\u0323\u0301", "\u11a8\u4f60\u0323\u00e9\uac00\u1100\u1161", "abcdeinghstr", "\u0130J\u030c\u03a3\u03c3\u03c2'stre", "<|endoftext|>", "東京、。ひ\u3099か", "0123456789", "!?.,'", "ﬁﬃⅣ①", "\u0915\u093c\u0958\u09c7\u09be", "\U0001f600\u200d\ufe0f", "\x00\x1c\x1f", "e\u0316\u0300"]
+
+
+def odd_run(r):
+    n = r.choice([1, 5, 40, 600, 1500, 5000])
+    parts = list("".join(r.sample(POOLS, r.randint(1, 4))))
+    parts += ["<|endoftext|>", "<|startoftext|>", "'re", "'ve"] * (r.random() < 0.5) + [" ", "\n"] * (r.random() < 0.3)
+    x = r.random()
+    return r.choice(parts) * n if x < 0.1 else "a" + "".join(r.sample(parts, min(2, len(parts)))) * n if x < 0.2 else "".join(r.choice(parts) for _ in range(n))
+
+
+def by_segments(enc, text, most):
+    rows, out, i = list(bpe.segments(enc, text.encode(), most)), [], 0
+    ids = [bpe.segment_ids(enc, kind, texts) for kind, _, texts in rows]
+    while i < len(rows):
+        j = i + 1
+        while rows[i][0] == bpe.CHUNK and j < len(rows) and rows[j][:2] == rows[i][:2]:
+            j += 1
+        out += bpe.join_chunks(enc, [x[2][0] for x in rows[i:j]], ids[i:j]) if rows[i][0] == bpe.CHUNK else ids[i]
+        i = j
+    return out
+
+
+@pytest.mark.parametrize("leaf", [40, 512])
+def test_odd_texts_equal_the_library_in_place_and_by_segments(leaf):
+    """2,000 texts of up to 5,000 parts, whole and cut every 300 bytes."""
+    enc = bpe.Encoder(WORD_BPE, leaf)
+    for seed in range(1000):
+        text = odd_run(random.Random(seed + leaf))
+        want = library(text)[1]
+        assert [i for w in next(enc.encode([text.encode()])) for i in w[1]] == want, (seed, text[:60])
+        assert by_segments(enc, text, 300) == want, (seed, text[:60])
+
+
+@pytest.mark.parametrize("text", [*["\u00a0" * 600, "\u0085" * 600, "東" + "\u3000" * 600 + "京", "a" + "\u0323\u0301" * 700], "x" * 513, "ab" * 3000, odd_text(random.Random(3), 3000)])
+def test_hard_runs(text):
+    enc = bpe.Encoder(WORD_BPE)
+    assert enc.run(text) == library(text)[1] if " " not in text else by_segments(enc, text, 200) == library(text)[1]
+
+
+def test_three_million_characters_by_both_paths():
+    r = random.Random(8)
+    enc = bpe.Encoder(WORD_BPE)
+    for text in ("".join(r.choice("acgt") for _ in range(3_000_000)), " ".join(prose(50, i) for i in range(12_000))):
+        want = library(text)[1]
+        assert len(text) >= 3_000_000 and [i for w in next(enc.encode([text.encode()])) for i in w[1]] == want
+        assert by_segments(enc, text, bpe.SEGMENT_CHARS) == want
+
+
+def test_a_tokenizer_that_keeps_white_space_is_an_error():
+    with pytest.raises(ValueError, match="white space"):
+        bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_rows_equal_the_library_and_segments_join(spark, docs, rows):
-    small = bpe.bpe(docs, WORD_BPE, leaf_bytes=128, run_leaf=64, segment_chars=500).toPandas()
-    digests = bpe.bpe(docs, WORD_BPE, digest=True).toPandas()
-    assert len(small) == len(digests) == len(rows)
-    by = collections.defaultdict(list)
-    for r in small.itertuples():
-        by[r.doc_id if r.doc_id == r.doc_id else None].append((list(r.token_ids), r.decoded))
-    shas = collections.Counter(digests.ids_sha256)
+    odd = [odd_run(random.Random(i)) for i in range(60)]
+    rows = [*rows, *[(1000 + i, t, "en", "s", 1) for i, t in enumerate(odd)]]
+    docs = spark.createDataFrame(rows, DOCS)
+    digests = {n: bpe.bpe(docs, WORD_BPE, digest=True, leaf=64, segment_chars=n).collect() for n in (500, 1 << 20)}
+    small = bpe.bpe(docs, WORD_BPE, leaf=64, segment_chars=500).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = collections.Counter()
     for doc_id, text, *_ in rows:
         t, ids = library(text or "")
-        assert (ids, t.decode(ids, skip_special_tokens=False)) in by[doc_id]
-        assert shas[hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] > 0
+        want[doc_id, len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, " ".join(map(str, r.token_ids)), r.decoded) for r in small) == want
+    whole = collections.Counter({(d, n, sha(i), sha(t)): c for (d, n, i, t), c in want.items()})
+    for got in digests.values():
+        assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == whole
 
 
 def test_bpe_empty_and_clashing(empty, clashing):
