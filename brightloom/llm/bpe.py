@@ -18,8 +18,8 @@ from brightloom.llm.common import binary, map_arrow, materialize, need
 LEAF = 512
 #: Characters of a document from which its parts become rows of their own, encoded by different tasks.
 SEGMENT_CHARS = 1 << 18
-#: Words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers (some 200 bytes each), and words that are encoded in one text.
+CACHE_WORDS, FILL = 600_000, 1_000
 #: Equal neighbouring tokens on each side of a join that settle it.
 AGREE = 4
 WINDOW = 32
@@ -56,7 +56,7 @@ class Encoder:
         self.model, self.normalizer, self.pre = self.tok.model, self.tok.normalizer, self.tok.pre_tokenizer
         if [len(self._library(x)) for x in ("a", "a a", " a\u00a0\n")] != [1, 2, 1]:
             raise ValueError(f"{path}: its pre-tokenizer keeps white space")
-        self.cache: dict[bytes, tuple] = {}
+        self.cache: dict[bytes, bytes] = {}
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names, self.numbers = [self.tok.id_to_token(i) for i in range(size)], [str(i) for i in range(size)]
         suffix = self.model.end_of_word_suffix or ""
@@ -126,31 +126,31 @@ class Encoder:
         """Ids of a text without ASCII white space."""
         return [i for x in self.split(text) for i in self.piece(x)]
 
-    def entry(self, ids: list[int]) -> tuple:
-        """(number of tokens, ids, ids as text, tokens as text)."""
-        return (len(ids), ids, " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
-
     def fill(self, words: set[bytes]) -> None:
         """Remembers the short ones of these runs: those not yet known are encoded in one text, white space between them."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         new = [w for w in words if w not in self.cache and len(w) <= self.leaf]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = [w for w in words if len(w) <= self.leaf]
+        for at in range(0, len(new), FILL):
+            part = new[at : at + FILL]
             texts = [w.decode("utf-8", "replace") for w in part]
             e = self.tok.encode(" ".join(texts), add_special_tokens=False)
             opens = np.cumsum([0] + [len(t) + 1 for t in texts])
-            cuts = np.searchsorted(np.array([x for x, _ in e.offsets], np.int64), opens).tolist()
-            ids = e.ids
-            self.cache.update((w, self.entry(ids[a:z])) for w, a, z in zip(part, cuts[:-1], cuts[1:], strict=True))
+            cuts = (np.searchsorted(np.array([x for x, _ in e.offsets], np.int64), opens) * 4).tolist()
+            ids = np.array(e.ids, np.int32).tobytes()
+            self.cache.update((w, ids[a:z]) for w, a, z in zip(part, cuts[:-1], cuts[1:], strict=True))
 
-    def encode(self, texts: list[bytes]) -> Iterator[list[tuple]]:
-        """For each text the entries of its words."""
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         split = [t.split() for t in texts]
         self.fill(set().union(*split))
         cache = self.cache
         for words in split:
-            yield [cache.get(w) or self.entry(self.run(w.decode("utf-8", "replace"))) for w in words]
+            known = list(map(cache.get, words))
+            if None in known:
+                known = [np.array(self.run(w.decode("utf-8", "replace")), np.int32).tobytes() if x is None else x for x, w in zip(known, words, strict=True)]
+            yield np.frombuffer(b"".join(known), np.int32)
 
 
 @functools.cache
@@ -166,14 +166,16 @@ def _encode_batches(path: str, leaf: int, digest: bool):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 n, one, two = [], [], []
-                for words in enc.encode(binary(part.column(0))):
-                    n.append(sum([w[0] for w in words]))
+                for ids in enc.encode(binary(part.column(0))):
+                    n.append(len(ids))
+                    each = ids.tolist()
+                    tokens = " ".join([enc.names[i] for i in each])
                     if digest:
-                        one.append(hashlib.sha256(" ".join([w[2] for w in words if w[0]]).encode()).hexdigest())
-                        two.append(hashlib.sha256(" ".join([w[3] for w in words if w[0]]).encode()).hexdigest())
+                        one.append(hashlib.sha256(" ".join([enc.numbers[i] for i in each]).encode()).hexdigest())
+                        two.append(hashlib.sha256(tokens.encode()).hexdigest())
                     else:
-                        one.append([i for w in words for i in w[1]])
-                        two.append(" ".join([w[3] for w in words if w[0]]))
+                        one.append(ids)
+                        two.append(tokens)
                 out = [pa.array(n, pa.int64()), pa.array(one, pa.string() if digest else pa.list_(pa.int32())), pa.array(two, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=[*part.schema.names[1:], "n_tokens", "ids_sha256" if digest else "token_ids", "decoded_sha256" if digest else "decoded"])
 
@@ -237,7 +239,7 @@ def _cut(path: str, leaf: int, most: int):
 
 def segment_ids(enc: Encoder, kind: int, texts: list[str]) -> list[int]:
     if kind == WORDS:
-        return [i for words in enc.encode([texts[0].encode()]) for w in words for i in w[1]]
+        return next(enc.encode([texts[0].encode()])).tolist()
     return [i for x in texts for i in enc.piece(x)]
 
 
