@@ -337,6 +337,41 @@ def test_neighbours_reach_the_brute_force(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_scores_depend_on_the_two_vectors_only(spark):
+    """Copies in different shards tie exactly, in order of their ids, however the table is cut."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 33))
+    x[[7, 41, 130, 222, 377, 401, 555, 599]] = x[7] * 3
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [neighbours.nearest(table, table.where("vec_id % 20 = 0"), shard=n).orderBy("query_id", "rank").collect() for n in (50, 199, 10_000)]
+    for g in got:
+        for q in range(0, 600, 20):
+            mine = [(row["score"], row["vec_id"]) for row in g if row["query_id"] == q]
+            copies = [(s, v) for s, v in mine if v in (7, 41, 130, 222, 377, 401, 555, 599)]
+            assert len({s for s, _ in copies}) <= 1 and [v for _, v in copies] == sorted(v for _, v in copies)
+            assert all(s == float(np.cumsum(x[v] * x[q])[-1]) for s, v in mine)
+    score = [{(row["query_id"], row["vec_id"]): row["score"] for row in g} for g in got]
+    assert all(a[p] == b[p] for a in score for b in score for p in a.keys() & b.keys())
+
+
+@pytest.mark.parametrize(("kind", "dims"), [("normal", 128), ("norms", 64), ("clusters", 64)])
+def test_recall_of_a_full_shard(kind, dims):
+    r = np.random.default_rng(1)
+    n = neighbours.SHARD
+    x = r.normal(size=(n, dims))
+    if kind == "norms":
+        x *= r.lognormal(0, 0.5, size=(n, 1))
+    if kind == "clusters":
+        x = r.normal(size=(n // 40, dims))[r.integers(0, n // 40, n)] + 0.2 * x
+    own = np.arange(0, n, 20)
+    q, v, _ = neighbours.Graph(np.arange(n), x, 20).search(own, x[own], 20)
+    s = x[own] @ x.T
+    s[np.arange(len(own)), own] = -np.inf
+    best = np.argpartition(-s, 20, axis=1)[:, :20]
+    hits = sum(len(set(v[q == i].tolist()) & set(b.tolist())) for i, b in zip(own.tolist(), best, strict=True))
+    assert hits / (20 * len(own)) >= 0.95
+
+
 # 7 MinHash
 
 
