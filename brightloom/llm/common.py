@@ -95,15 +95,33 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to spaces, punctuation and symbols beyond ASCII: U+00A0 to U+00BF, general punctuation, arrows,
+    CJK punctuation and its full-width forms."""
+    out = np.zeros(len(data), bool)
+    n = len(data) - 2
+    at = np.flatnonzero(data[: max(n, 0)] >= 0xE2)  # sequences of three bytes
+    if len(at):
+        a, b, c = data[at], data[at + 1], data[at + 2]
+        code = ((a & 0x0F).astype(np.int32) << 12) | ((b & 0x3F).astype(np.int32) << 6) | (c & 0x3F)
+        is_mark = (a < 0xF0) & (((code >= 0x2000) & (code < 0x2200)) | ((code >= 0x3000) & (code < 0x3004)) | ((code >= 0x3008) & (code < 0x3021)) | ((code >= 0xFF01) & (code < 0xFF10)) | ((code >= 0xFF1A) & (code < 0xFF21)))
+        for j in range(3):
+            out[at[is_mark] + j] = True
+    at = np.flatnonzero(data[:-1] == 0xC2) if len(data) else np.empty(0, np.int64)
+    at = at[data[at + 1] < 0xC0]
+    out[at] = out[at + 1] = True
+    return out
+
+
 class Words:
     """The words of some texts: hashes, first and past-the-end bytes in data, and each text's range of words."""
 
     def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
-        """lower: A-Z count as a-z; letters: a word is a run of ASCII letters, digits and non-ASCII characters."""
+        """lower: A-Z count as a-z; letters: a word is a run of letters, digits and the like."""
         self.data, offsets = text_bytes(column)
         self.offsets = offsets
         n = len(self.data)
-        space = (_PUNCT if letters else _SPACE)[self.data]
+        space = _PUNCT[self.data] | _marks(self.data) if letters else _SPACE[self.data]
         opens = np.ones(n + 1, bool)  # what stands before a byte is no part of its word
         opens[1:] = space
         opens[offsets] = True

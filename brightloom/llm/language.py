@@ -12,27 +12,24 @@ from pyspark.sql import functions as F
 
 from brightloom.llm.common import _BASE, _BYTE, Words, collect_small, held_out, map_arrow, materialize, mix64, need, slices
 
-#: Longest piece in bytes; longer ones of the vocabulary play no part.
-PIECE = 8
-#: A word is scored in parts of so many bytes; few words are longer.
-PART = 48
 #: Training documents of each language, about; all their words count.
 SAMPLE = 1_000
 ROUNDS, FLOOR = 3, 1e-7
 LANGUAGES = 1_000
-BATCH = 20_000
+#: Probabilities that a forward pass holds at once, of all words, languages and places; and places between two scalings.
+HELD, SCALE = 1 << 22, 8
 
 
 @functools.cache
 def vocabulary(path: str) -> tuple[bytes, ...]:
-    """Pieces of the sentencepiece model at path: lower case, up to PIECE bytes, a word's opening written as a space."""
+    """All pieces of the sentencepiece model at path that can be part of a word, a word's opening written as a space; and
+    the single bytes, which its byte pieces stand for."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    found = {p.replace("▁", " ").encode() for p in pieces if p == p.lower()}
-    found = {p for p in found if len(p) <= PIECE and b" " not in p[1:]}
-    return tuple(sorted(found | {b" "} | {bytes([i]) for i in range(256)}))
+    found = {p.replace("▁", " ").encode() for p in pieces}
+    return tuple(sorted({p for p in found if b" " not in p[1:]} | {b" "} | {bytes([i]) for i in range(256)}))
 
 
 class Pieces:
@@ -53,6 +50,7 @@ class Pieces:
             h = mix64(h + np.uint64(k[1]))
             order = np.argsort(h)
             self.tables[k] = h[order], np.array([i for _, i in rows])[order]
+        self.lengths = sorted({k for _, k in by} - {0})
 
     @staticmethod
     def _hash(b: bytes) -> int:
@@ -72,42 +70,40 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _parts(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, opens, word) of the parts of the words at the given places."""
-    size = w.end[at] - w.start[at]
-    n = -(-size // PART)
-    word = np.repeat(np.arange(len(at)), n)
-    k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    start = w.start[at][word] + k * PART
-    return start, np.minimum(PART, w.end[at][word] - start), k == 0, word
-
-
 def forward(pieces: Pieces, p: np.ndarray, w: Words, at: np.ndarray) -> np.ndarray:
     """Log probability of each word for each language: the sum over all its segmentations into pieces.
 
-    p: probabilities, a row for each piece and a last row of zeros, a column for each language.
+    p: probabilities, a row for each piece and a last row of zeros, a column for each language. Only as many places of a
+    word are held as the longest piece has bytes; they are scaled as they shrink, so words may have any length.
     """
-    start, size, opens, word = _parts(w, at)
     out = np.zeros((len(at), p.shape[1]))
-    order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), BATCH):
-        o = order[lo : lo + BATCH]
-        s, n, head = start[o], size[o], opens[o]
-        most = int(n[0])
-        alpha = np.zeros((most + 1, len(o), p.shape[1]))
-        alpha[0] = 1.0
-        for pos in range(most):
+    ring = pieces.lengths[-1] + 1
+    order = np.argsort(-(w.end[at] - w.start[at]), kind="stable")
+    many = max(64, HELD // (ring * p.shape[1]))
+    for lo in range(0, len(order), many):
+        o = order[lo : lo + many]
+        s, n = w.start[at[o]], w.end[at[o]] - w.start[at[o]]
+        held = np.zeros((ring, len(o), p.shape[1]))
+        held[0] = 1.0
+        scale = np.zeros((len(o), p.shape[1]))
+        for pos in range(int(n[0]) + 1):
             live = int(np.searchsorted(-n, -pos, "left"))
-            for k in range(1, min(PIECE, most - pos) + 1):
+            ends = int(np.searchsorted(-n, -pos, "right"))
+            here = held[pos % ring]
+            out[o[live:ends]] = np.log(here[live:ends]) + scale[live:ends]
+            for k in pieces.lengths:
                 fits = int(np.searchsorted(-n, -(pos + k), "right"))
                 if not fits:
                     break
-                fits = min(fits, live)
                 q = p[pieces.find(w, s[:fits] + pos, k, False)]
                 if pos == 0:
-                    q = np.where(head[:fits, None], q * p[pieces.space] + p[pieces.find(w, s[:fits], k, True)], q)
-                alpha[pos + k, :fits] += alpha[pos, :fits] * q
-        np.add.at(out, word[o], np.log(np.maximum(alpha[n, np.arange(len(o))], 1e-300)))
+                    q = q * p[pieces.space] + p[pieces.find(w, s[:fits], k, True)]
+                held[(pos + k) % ring, :fits] += here[:fits] * q
+            here[:] = 0
+            if pos % SCALE == SCALE - 1 and live:
+                most = held[:, :live].max(0)
+                held[:, :live] /= most
+                scale[:live] += np.log(most)
     return out
 
 
@@ -121,44 +117,56 @@ def start(pieces: Pieces, langs: int) -> np.ndarray:
 
 
 def expect(pieces: Pieces, p: np.ndarray, words: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words, which are there so often (columns: languages)."""
-    langs = counts.shape[1]
-    w = Words(words, lower=True)
-    keep = np.flatnonzero((w.end - w.start) > 0)
+    """Expected uses of each piece in one language, over all segmentations of the words, which are there so often.
+
+    Forward and backward sums are logarithms, one for each byte of the words.
+    """
+    w = Words(words)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
     total = np.zeros_like(p)
-    for lo in range(0, len(keep), 5_000):
-        rows = keep[lo : lo + 5_000]
-        start, size, opens, word = _parts(w, rows)
-        owner = rows[word]
-        doc = w.of_doc()[owner]
-        most = int(size.max())
-        found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-        alpha = np.zeros((most + 1, len(start), langs))
-        alpha[0] = 1.0
-        for pos in range(most):
-            for k in range(1, min(PIECE, most - pos) + 1):
-                at = np.flatnonzero(size >= pos + k)
-                ids = pieces.find(w, start[at] + pos, k, False)
-                heads = pieces.find(w, start[at], k, True) if pos == 0 else None
-                q = p[ids]
-                if heads is not None:
-                    q = np.where(opens[at, None], q * p[pieces.space] + p[heads], q)
-                alpha[pos + k, at] += alpha[pos, at] * q
-                found.append((pos, k, at, ids, heads))
-        z = np.maximum(alpha[size, np.arange(len(start))], 1e-300)
-        beta = np.zeros_like(alpha)
-        beta[size, np.arange(len(start))] = counts[doc] / z
-        for pos, k, at, ids, heads in reversed(found):
-            b = beta[pos + k, at]
-            inner = p[ids] * np.where(opens[at, None], p[pieces.space], 1.0) if pos == 0 else p[ids]
-            np.add.at(total, ids, alpha[pos, at] * inner * b)
-            if heads is not None:
-                lead = np.where(opens[at, None], p[heads], 0.0)
-                np.add.at(total, heads, alpha[0, at] * lead * b)
-                total[pieces.space] += (alpha[0, at] * inner * b)[opens[at]].sum(0)
-                beta[0, at] += (inner + lead) * b
-            else:
-                beta[pos, at] += inner * b
+    for lo in range(0, len(w.start), 20_000):
+        first, size = w.start[lo : lo + 20_000], (w.end - w.start)[lo : lo + 20_000]
+        by = np.argsort(-size, kind="stable")
+        first, size, n = first[by], size[by], counts[w.of_doc()[lo : lo + 20_000]][by]
+        row = np.cumsum(size + 1) - size - 1  # a word's sums stand together
+        before = np.full(int((size + 1).sum()), -np.inf)
+        before[row] = 0.0
+        after = np.full(len(before), -np.inf)
+        after[row + size] = 0.0
+
+        def uses(pos: int, k: int, first=first, size=size):
+            """Words that have a piece of k bytes at pos, its number and log probability, first within a word, then as its opening."""
+            fits = int(np.searchsorted(-size, -(pos + k), "right"))
+            ids = pieces.find(w, first[:fits] + pos, k, False)
+            out = [(ids, log_p[ids] + (log_p[pieces.space] if pos == 0 else 0.0))]
+            if pos == 0:
+                ids = pieces.find(w, first[:fits], k, True)
+                out.append((ids, log_p[ids]))
+            for ids, q in out:
+                some = np.flatnonzero(ids < pieces.n)
+                yield some, ids[some], q[some]
+
+        for pos in range(int(size[0])):
+            for k in pieces.lengths:
+                if k > size[0] - pos:
+                    break
+                for some, _, q in uses(pos, k):
+                    to = row[some] + pos + k
+                    before[to] = np.logaddexp(before[to], before[row[some] + pos] + q)
+        whole = before[row + size]
+        for pos in range(int(size[0]) - 1, -1, -1):
+            for k in pieces.lengths:
+                if k > size[0] - pos:
+                    break
+                for some, ids, q in uses(pos, k):
+                    at = row[some] + pos
+                    q = q + after[at + k]
+                    after[at] = np.logaddexp(after[at], q)
+                    used = np.exp(before[at] + q - whole[some]) * n[some]
+                    np.add.at(total, ids, used)
+                    if pos == 0:
+                        total[pieces.space] += used[[pieces.pieces[i][:1] != b" " for i in ids.tolist()]].sum()
     return total
 
 
@@ -182,7 +190,7 @@ def _expect(shared):
             cuts = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), b.num_rows] if b.num_rows else []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 at, part = int(lang[lo]), b.slice(lo, hi - lo)
-                uses = expect(pieces, p[:, at : at + 1], part.column(1), part.column(2).to_numpy().astype(float)[:, None])[:, 0]
+                uses = expect(pieces, p[:, at], part.column(1), part.column(2).to_numpy().astype(float))
                 totals[at] = totals[at] + uses if at in totals else uses
         for at, total in totals.items():
             used = np.flatnonzero(total[:-1] > 0)
@@ -215,14 +223,14 @@ def _count_words():
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 0):
-                w = Words(part.column(0), lower=True, letters=True)
+                w = Words(part.column(0), letters=True)
                 names, lang = np.unique(np.array(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
                 out: tuple[list, list, list] = ([], [], [])
                 for i, name in enumerate(names):
                     at = np.flatnonzero(lang[w.of_doc()] == i)
                     _, first, n = np.unique(w.hash[at], return_index=True, return_counts=True)
                     out[0].extend([name] * len(n))
-                    out[1].extend(w.data[a:z].tobytes().lower() for a, z in zip(w.start[at[first]], w.end[at[first]], strict=True))
+                    out[1].extend(w.data[a:z].tobytes() for a, z in zip(w.start[at[first]], w.end[at[first]], strict=True))
                     out[2].extend(n.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["lang", "word", "n"])
 
@@ -249,10 +257,9 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict:
 class Scorer:
     """Scores texts; words that were seen before are remembered."""
 
-    MOST = 400_000
-
     def __init__(self, model: dict):
         self.model, self.pieces = model, pieces_of(model["path"])
+        self.most = min(400_000, 4 * HELD // max(1, len(model["langs"])))
         self.known = np.empty(0, np.uint64)
         self.logs = np.empty((0, len(model["langs"])))
 
@@ -264,7 +271,7 @@ class Scorer:
         logs = np.empty((len(h), len(self.model["langs"])))
         logs[~new] = self.logs[at[~new]]
         logs[new] = forward(self.pieces, self.model["p"], w, first[new])
-        if len(self.known) + new.sum() > self.MOST:
+        if len(self.known) + new.sum() > self.most:
             self.known, self.logs = h, logs
         elif new.any():
             both = np.concatenate([self.known, h[new]])
@@ -273,7 +280,7 @@ class Scorer:
         return back, logs
 
     def score(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        w = Words(column, lower=True, letters=True)
+        w = Words(column, letters=True)
         n, langs = len(w), self.model["langs"]
         ascii_letter = np.concatenate([[0], np.cumsum(((w.data | 32) >= 97) & ((w.data | 32) <= 122))])
         letter = ascii_letter[w.offsets[1:]] > ascii_letter[w.offsets[:-1]]
@@ -295,8 +302,8 @@ def language(docs: DataFrame, model: dict) -> DataFrame:
     """Predicts each whole text's language: docs with lang_pred string and lang_score double (0 to 1, its posterior).
 
     docs: text and any other columns, all kept; the two added ones are replaced if there. A text that is null, empty or
-    has no letter is ``und`` with score 0, as is all where nothing was learnt. Words are runs of letters and digits, A-Z
-    lower-cased; a word of over PART bytes is scored in parts. Ties go to the first language by code point. Repeated rows
+    has no letter is ``und`` with score 0, as is all where nothing was learnt. Words are runs of letters and
+    digits as they stand, of any length. Ties go to the first language by code point. Repeated rows
     get equal results; an empty table gives an empty one. The model's size is that of the vocabulary times the languages.
     """
     need(docs, text="string")

@@ -562,14 +562,15 @@ def test_forward_sums_all_segmentations():
     pieces = language.pieces_of(PIECES)
     p = np.random.default_rng(8).random((pieces.n + 1, 2)) / pieces.n
     p[-1] = 0
-    w = language.Words(pa.array(["then", "ab"]), lower=True)
+    words = [b"then", b"ab", "Straße".encode(), "東京都".encode(), b"a", b"information"]
+    w = language.Words(pa.array(words, pa.binary()))
     row = {x: i for i, x in enumerate(pieces.pieces)}
 
     def total(word, at, k):
         if at == len(word):
             return 1.0
         out = 0.0
-        for n in range(1, language.PIECE + 1):
+        for n in range(1, len(word) - at + 1):
             part = word[at : at + n]
             if len(part) == n:
                 q = p[row[part], k] if part in row else 0.0
@@ -578,9 +579,34 @@ def test_forward_sums_all_segmentations():
                 out += q * total(word, at + n, k)
         return out
 
-    got = language.forward(pieces, p, w, np.arange(2))
-    for i, word in enumerate((b"then", b"ab")):
-        assert np.allclose(np.exp(got[i]), [total(word, 0, k) for k in range(2)])
+    got = language.forward(pieces, p, w, np.arange(len(words)))
+    for i, word in enumerate(words):
+        assert np.allclose(np.exp(got[i]), [total(word, 0, k) for k in range(2)], rtol=1e-9)
+
+
+def test_forward_of_long_words_in_logarithms(monkeypatch):
+    """Words of up to 4,000 bytes, unseen bytes among them, against sums of logarithms one by one."""
+    import pyarrow as pa
+
+    pieces = language.pieces_of(PIECES)
+    p = np.random.default_rng(9).random((pieces.n + 1, 3)) ** 8 / pieces.n + 1e-9
+    p[-1] = 0
+    row, logs = {x: i for i, x in enumerate(pieces.pieces)}, np.log(p[:-1])
+    words = ["informationen" * 90, "\u0e01" * 46, "x" * 4000, "東京都" * 60, "ab"]
+    monkeypatch.setattr(language, "HELD", 1)
+    w = language.Words(pa.array(words))
+    got = language.forward(pieces, p, w, np.arange(len(words)))
+    for i, word in enumerate(x.encode() for x in words):
+        a = np.full((len(word) + 1, 3), -np.inf)
+        a[0] = 0
+        for at in range(len(word)):
+            for n in pieces.lengths:
+                part = word[at : at + n]
+                if len(part) == n and part in row:
+                    a[at + n] = np.logaddexp(a[at + n], a[at] + logs[row[part]] + (0 if at else logs[row[b" "]]))
+                if len(part) == n and not at and b" " + part in row:
+                    a[n] = np.logaddexp(a[n], logs[row[b" " + part]])
+        assert np.allclose(got[i], a[-1], rtol=1e-9)
 
 
 def test_language_holds_out(spark, docs, empty, clashing):
@@ -615,16 +641,45 @@ def test_language_keeps_all_words_of_a_small_language(spark, monkeypatch):
     assert {r["lang_pred"] for r in got} == {"small"}
 
 
+def test_expected_uses_by_all_segmentations():
+    import pyarrow as pa
+
+    pieces = language.pieces_of(PIECES)
+    p = np.random.default_rng(5).random(pieces.n + 1) / pieces.n
+    p[-1] = 0
+    row = {x: i for i, x in enumerate(pieces.pieces)}
+
+    def ways(rest, first):
+        """(pieces, probability) of each segmentation."""
+        if not rest:
+            yield [], 1.0
+        for n in range(1, len(rest) + 1):
+            for lead in ([[b" ", rest[:n]], [b" " + rest[:n]]] if first else [[rest[:n]]]):
+                if all(x in row for x in lead):
+                    for tail, q in ways(rest[n:], False):
+                        yield lead + tail, q * np.prod([p[row[x]] for x in lead])
+
+    want = np.zeros_like(p)
+    words = [(b"then", 2.0), ("süß".encode(), 1.0), (b"theory", 3.0)]
+    for word, n in words:
+        all_ = list(ways(word, True))
+        for used, q in all_:
+            for x in used:
+                want[row[x]] += n * q / sum(y for _, y in all_)
+    got = language.expect(pieces, p, pa.array([x for x, _ in words], pa.binary()), np.array([n for _, n in words]))
+    assert np.allclose(got, want)
+
+
 def test_learning_in_parts_equals_learning_at_once(spark):
     import pyarrow as pa
 
     words = [(i, "".join(random.Random(f"{i} {k}").choices("abcdeé", k=6)).encode(), k + 1) for i in range(2) for k in range(50)]
     pieces = language.pieces_of(PIECES)
     p = language.start(pieces, 2)
-    counts = np.zeros((len(words), 2))
-    counts[range(len(words)), [x[0] for x in words]] = [x[2] for x in words]
     for _ in range(language.ROUNDS):
-        p = language.settle(language.expect(pieces, p, pa.array([x[1] for x in words], pa.binary()), counts))
+        each = [[x for x in words if x[0] == i] for i in range(2)]
+        uses = [language.expect(pieces, p[:, i], pa.array([x[1] for x in mine], pa.binary()), np.array([float(x[2]) for x in mine])) for i, mine in enumerate(each)]
+        p = language.settle(np.stack(uses, 1))
     table = spark.createDataFrame(words, "lang int, word binary, n long").repartition(3).sortWithinPartitions("lang")
     assert language.learn(table, PIECES, 2) == pytest.approx(p, rel=1e-9)
 
