@@ -9,6 +9,8 @@ from brightloom.functions.dictionaries import DICTIONARIES, PART_TYPE
 
 FIRST_DAY, LAST_DAY = "1992-01-01", "1998-12-31"
 UNKNOWN = -1
+#: Columns whose null is the empty text, which has a code.
+EMPTY_IS_A_VALUE = ("t_meal_time",)
 
 
 def _array(values: list[str]) -> Column:
@@ -29,7 +31,8 @@ def decode(code: Column, values: list[str]) -> Column:
 def encode_field(name: str, value: Column | None = None) -> Column:
     if name not in DICTIONARIES:
         raise ValueError(f"{name} is not a dictionary column")
-    return encode(F.col(name) if value is None else value, DICTIONARIES[name])
+    value = F.col(name) if value is None else value
+    return encode(or_empty(value) if name in EMPTY_IS_A_VALUE else value, DICTIONARIES[name])
 
 
 def decode_field(name: str, code: Column) -> Column:

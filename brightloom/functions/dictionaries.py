@@ -36,20 +36,39 @@ CATALOG_TYPE = ["bi-annual", "quarterly", "monthly"]
 PAGE_TYPE = ["general", "order", "welcome", "ad", "feedback", "protected", "dynamic"]
 SHIP_TYPE = ["REGULAR", "EXPRESS", "NEXT DAY", "OVERNIGHT", "TWO DAY", "LIBRARY"]
 SHIP_CODE = ["AIR", "SURFACE", "SEA", "BIKE", "HAND CARRY", "MESSENGER", "COURIER"]
-CARRIER = "UPS FEDEX AIRBORNE USPS DHL TBS ZHOU ZOUROS MSC LATVIAN ALLIANCE ORIENTAL BARIAN BOXBUNDLES".split() + ["GREAT EASTERN", "DIAMOND", "RUPEKSA", "GERMA", "HARMSTORF", "PRIVATECARRIER"]
+CARRIER = [
+    "UPS", "FEDEX", "AIRBORNE", "USPS", "DHL", "TBS", "ZHOU", "ZOUROS", "MSC", "LATVIAN", "ALLIANCE", "ORIENTAL",
+    "BARIAN", "BOXBUNDLES", "GREAT EASTERN", "DIAMOND", "RUPEKSA", "GERMA", "HARMSTORF", "PRIVATECARRIER",
+]
 LOCATION = ["single family", "condo", "apartment"]
 CENTER_CLASS = ["small", "medium", "large"]
 HOURS = ["8AM-4PM", "8AM-12AM", "8AM-8AM"]
 CENTER_NAME = ["New England", "NY Metro", "Mid Atlantic", "Southeastern", "North Midwest", "Central Midwest", "South Midwest", "Pacific Northwest", "California", "Southwest", "Hawaii/Alaska", "Other"]
-STREET = "Street ST Avenue Ave Boulevard Blvd Road RD Parkway Pkwy Way Wy Drive Dr. Circle Cir. Lane Ln Court Ct.".split()
+STREET = [
+    "Street", "ST", "Avenue", "Ave", "Boulevard", "Blvd", "Road", "RD", "Parkway", "Pkwy", "Way", "Wy", "Drive",
+    "Dr.", "Circle", "Cir.", "Lane", "Ln", "Court", "Ct.",
+]
 BUY_POTENTIAL = [">10000", "0-500", "501-1000", "5001-10000", "1001-5000", "unknown"]
-STATE = "AK AL AR AZ CA CO CT DC DE FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV WY".split()
-COLOR = (
-    "almond antique aquamarine azure beige bisque black blanched blue blush brown burlywood burnished chartreuse chiffon chocolate coral cornflower cornsilk cream cyan dark deep dim dodger drab firebrick floral "
-    "forest frosted gainsboro ghost goldenrod green grey honeydew hot indian ivory khaki lace lavender lawn lemon light lime linen magenta maroon medium metallic midnight mint misty moccasin navajo navy olive "
-    "orange orchid pale papaya peach peru pink plum powder puff purple red rose rosy royal saddle salmon sandy seashell sienna sky slate smoke snow spring steel tan thistle tomato turquoise violet wheat white yellow"
-).split()
-UNITS = "Unknown Each Dozen Case Pallet Gross Carton Box Bunch Bundle Oz Lb Ton Ounce Pound Tsp Tbl Cup Dram Gram N/A".split()
+STATE = [
+    "AK", "AL", "AR", "AZ", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA", "ID", "IL", "IN", "KS", "KY", "LA",
+    "MA", "MD", "ME", "MI", "MN", "MO", "MS", "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR",
+    "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY",
+]
+COLOR = [
+    "almond", "antique", "aquamarine", "azure", "beige", "bisque", "black", "blanched", "blue", "blush", "brown",
+    "burlywood", "burnished", "chartreuse", "chiffon", "chocolate", "coral", "cornflower", "cornsilk", "cream",
+    "cyan", "dark", "deep", "dim", "dodger", "drab", "firebrick", "floral", "forest", "frosted", "gainsboro", "ghost",
+    "goldenrod", "green", "grey", "honeydew", "hot", "indian", "ivory", "khaki", "lace", "lavender", "lawn", "lemon",
+    "light", "lime", "linen", "magenta", "maroon", "medium", "metallic", "midnight", "mint", "misty", "moccasin",
+    "navajo", "navy", "olive", "orange", "orchid", "pale", "papaya", "peach", "peru", "pink", "plum", "powder",
+    "puff", "purple", "red", "rose", "rosy", "royal", "saddle", "salmon", "sandy", "seashell", "sienna", "sky",
+    "slate", "smoke", "snow", "spring", "steel", "tan", "thistle", "tomato", "turquoise", "violet", "wheat", "white",
+    "yellow",
+]
+UNITS = [
+    "Unknown", "Each", "Dozen", "Case", "Pallet", "Gross", "Carton", "Box", "Bunch", "Bundle", "Oz", "Lb", "Ton",
+    "Ounce", "Pound", "Tsp", "Tbl", "Cup", "Dram", "Gram", "N/A",
+]
 ONE = {"unknown": ["Unknown"], "department": ["DEPARTMENT"], "country": ["United States"]}
 
 #: Column name to dictionary; columns of other names are not encoded.

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = {"parquet": "parquet", "csv": "csv", "orc": "orc", "iceberg": "iceberg", "paimon": "paimon", "lance": "lance"}
@@ -34,6 +35,42 @@ def batches(df: DataFrame, position: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(position) / size).cast("long"))
 
 
+def pull(df: DataFrame, size: int) -> Iterator[list[Row]]:
+    """Batches of rows for a program that pulls them, a partition at a time on the driver; the last one may be shorter."""
+    if size < 1:
+        raise ValueError("a batch has a row at least")
+    held: list[Row] = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def each_row(df: DataFrame, table: str, callback: Callable[[str, Row], None]) -> None:
+    """Calls back with the table's name and each row, on the executors, a partition at a time."""
+
+    def run(rows: Iterator[Row]) -> None:
+        for row in rows:
+            callback(table, row)
+
+    df.foreachPartition(run)
+
+
+def estimated_bytes(df: DataFrame) -> Column:
+    """Bytes that a row's values take in columnar buffers: fixed widths, and texts with their offsets; a bit for each null."""
+    out = F.lit(0)
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            out = out + 4 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        else:
+            out = out + {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}.get(kind, 8)
+    return (out + F.lit(len(df.columns)) / 8).cast("double")
+
+
 def output_name(folder: str, table: str, kind: str) -> str:
     if kind not in EXTENSIONS:
         raise ValueError(f"unknown format {kind!r}; there are {sorted(EXTENSIONS)}")

@@ -11,8 +11,9 @@ from brightloom.functions import codecs as C
 from brightloom.functions import dictionaries as D
 from brightloom.operators import analytics as A
 from brightloom.operators import shaping as S
+from brightloom.plans import runs
 from brightloom.plans.schemas import TPCDS, TPCH
-from brightloom.sources import distributions, tpcds, tpch
+from brightloom.sources import distributions, sinks, tpcds, tpch
 from brightloom.sources.dialects import Duck
 
 #: Scale factors of the generated tables that are registered.
@@ -50,10 +51,21 @@ for _t in TPCDS:
         QUERIES[f"gen_ds_{_t}"], ORACLE[f"gen_ds_{_t}"] = _generated(tpcds, _t, SCALE_DS)
 
 
-@query(f"select cd_gender, cd_education_status, count(*) as n, sum(cd_purchase_estimate) as estimate, sum(cd_demo_sk * cd_dep_count) as keys from ({tpcds.sql('customer_demographics', 1, Duck())}) group by all")
+_DEMOGRAPHICS = "cd_gender, cd_marital_status, cd_education_status, cd_credit_rating"
+_DIGEST = "count(*) as n, sum(cd_purchase_estimate) as estimate, sum(cd_demo_sk * (1 + cd_dep_count + 10 * cd_dep_employed_count + 100 * cd_dep_college_count)) as keys"
+
+
+@query(f"select {_DEMOGRAPHICS}, {_DIGEST} from ({tpcds.sql('customer_demographics', 1, Duck())}) group by all")
 def gen_ds_customer_demographics(spark, sf_dir):
+    """All nine columns of the 1.9 million rows, summed up."""
     df = tpcds.generate(spark, "customer_demographics", 1)
-    return df.groupBy("cd_gender", "cd_education_status").agg(F.count("*").alias("n"), F.sum(F.col("cd_purchase_estimate").cast("long")).alias("estimate"), F.sum(F.col("cd_demo_sk") * F.col("cd_dep_count")).alias("keys"))
+    keys = F.col("cd_demo_sk") * (1 + F.col("cd_dep_count") + 10 * F.col("cd_dep_employed_count") + 100 * F.col("cd_dep_college_count"))
+    return df.groupBy(*_DEMOGRAPHICS.split(", ")).agg(F.count("*").alias("n"), F.sum(F.col("cd_purchase_estimate").cast("long")).alias("estimate"), F.sum(keys).alias("keys"))
+
+
+for _t in ("store_returns", "catalog_returns", "web_returns"):
+    QUERIES[f"gen_ds_{_t}_spec"] = lambda spark, sf_dir, t=_t: tpcds.generate(spark, t, SCALE_DS, "spec")
+    ORACLE[f"gen_ds_{_t}_spec"] = tpcds.sql(_t, SCALE_DS, Duck(), "spec")
 
 
 def _list(values: list[str]) -> str:
@@ -72,20 +84,53 @@ def _code_counts(name: str, source: str, column: str) -> None:
 
 for _name, _source, _column in [
     ("codec_returnflag", "lineitem", "l_returnflag"), ("codec_linestatus", "lineitem", "l_linestatus"), ("codec_orderstatus", "orders", "o_orderstatus"),
-    ("codec_orderpriority", "orders", "o_orderpriority"), ("codec_mktsegment", "customer", "c_mktsegment"), ("codec_brand", "part", "p_brand"), ("codec_ptype", "part", "p_type"),
+    ("codec_orderpriority", "orders", "o_orderpriority"), ("codec_mktsegment", "customer", "c_mktsegment"),
 ]:
     _code_counts(_name, _source, _column)
 
 
-def _dictionary(name: str) -> None:
-    values = D.DICTIONARIES[name]
-    QUERIES[f"dict_{name}"] = lambda spark, sf_dir: C.dictionary_table(spark, name)
-    ORACLE[f"dict_{name}"] = f"select cast(i as int) as code, list_extract({_list(values)}, i + 1) as value from range({len(values)}) t(i)"
+def _encoded(suite, table: str, column: str, sf: float, codes: str) -> None:
+    """Codes of a generated table's column. The SQL has them from the rows' draws or numbers, not from the lists of values."""
 
-
-for _name in D.DICTIONARIES:
-    if _name.split("_", 1)[0] not in ("w", "s", "cc", "ca") or _name in ("cc_class", "cc_hours", "cc_name", "ca_location_type", "ca_state", "ca_street_type", "ca_country"):
-        _dictionary(_name)
+    def f(spark, sf_dir):
+        return suite.generate(spark, table, sf).groupBy(C.encode_field(column).alias("code")).agg(F.count("*").alias("n"))
+
+    QUERIES[f"codec_{table}_{column}"] = f
+    ORACLE[f"codec_{table}_{column}"] = f"select cast(code as int) as code, count(*) as n from ({codes}) group by 1"
+
+
+_duck = Duck()
+_lines = f"(select id * 8 + line as k from {_duck.children(_duck.rows(tpch.row_count('orders', SCALE_H)), '1 + ' + _duck.draw('lines') + ' % 7')})"
+_parts = _duck.rows(tpch.row_count("part", SCALE_H))
+_encoded(tpch, "lineitem", "l_shipinstruct", SCALE_H, f"select {_duck.draw('l_inst', 'k')} % 4 as code from {_lines}")
+_encoded(tpch, "lineitem", "l_shipmode", SCALE_H, f"select {_duck.draw('l_mode', 'k')} % 7 as code from {_lines}")
+_encoded(tpch, "part", "p_mfgr", SCALE_H, f"select {_duck.draw('p_mfgr')} % 5 as code from {_parts}")
+_encoded(tpch, "part", "p_brand", SCALE_H, f"select {_duck.draw('p_mfgr')} % 5 * 5 + {_duck.draw('p_brand')} % 5 as code from {_parts}")
+_encoded(tpch, "part", "p_container", SCALE_H, f"select {_duck.draw('p_cont')} % 40 as code from {_parts}")
+_encoded(tpch, "part", "p_type", SCALE_H, f"select {_duck.draw('p_t1')} % 6 * 25 + {_duck.draw('p_t2')} % 5 * 5 + {_duck.draw('p_t3')} % 5 as code from {_parts}")
+# positions of values in the specification's lists, by the numbers of the rows (from 0)
+_hours = "(select range // 3600 as h from range(86400))"
+for _table, _column, _codes in [
+    ("customer_demographics", "cd_gender", "select range % 2 as code from range(1920800)"),
+    ("customer_demographics", "cd_marital_status", "select range // 2 % 5 as code from range(1920800)"),
+    ("customer_demographics", "cd_education_status", "select range // 10 % 7 as code from range(1920800)"),
+    ("customer_demographics", "cd_credit_rating", "select range // 1400 % 4 as code from range(1920800)"),
+    ("household_demographics", "hd_buy_potential", "select range // 20 % 6 as code from range(7200)"),
+    ("time_dim", "t_am_pm", f"select h // 12 as code from {_hours}"),
+    ("time_dim", "t_shift", f"select (h // 8 + 2) % 3 as code from {_hours}"),
+    ("time_dim", "t_sub_shift", f"select (h // 6 + 3) % 4 as code from {_hours}"),
+    ("time_dim", "t_meal_time", f"select case when h in (6, 7, 8) then 1 when h in (11, 12, 13) then 2 when h in (17, 18, 19, 20) then 3 else 0 end as code from {_hours}"),
+    ("date_dim", "d_day_name", "select (range + 2) % 7 as code from range(73049)"),
+    ("ship_mode", "sm_type", "select range % 6 as code from range(20)"),
+    ("ship_mode", "sm_code", "select range % 7 as code from range(20)"),
+    ("ship_mode", "sm_carrier", "select range as code from range(20)"),
+]:
+    _encoded(tpcds, _table, _column, 1, _codes)
+for _table, _column, _size in [
+    ("customer", "c_salutation", 6), ("customer_address", "ca_location_type", 3), ("customer_address", "ca_street_type", 20), ("customer_address", "ca_state", 51), ("call_center", "cc_class", 3),
+    ("call_center", "cc_hours", 3), ("call_center", "cc_name", 12), ("catalog_page", "cp_type", 3), ("web_page", "wp_type", 7), ("item", "i_category", 10), ("item", "i_size", 7), ("item", "i_color", 92), ("item", "i_units", 21),
+]:
+    _encoded(tpcds, _table, _column, 0.1, f"select {_duck.draw(f'{_table}.{_column}')} % {_size} as code from {_duck.rows(tpcds.row_count(_table, 0.1))}")
 
 
 @query("select l_orderkey, l_linenumber, case when cast(l_shipdate as date) between date '1992-01-01' and date '1998-12-31' then cast(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) as int) end as day_code from lineitem")
@@ -249,13 +294,158 @@ def best_of(spark, sf_dir):
     return S.first_of_each(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], ["value", "event_id"])
 
 
-@query("select o_orderkey, cast(o_orderkey * 10 as double) as rows_written, o_totalprice as throughput, cast(null as double) as write_rate, case when o_orderkey % 3 = 0 then 'oom' when o_orderkey % 3 = 1 then 'timeout' else 'other' end as problem from orders")
+_FAULTS = [
+    ("Segmentation fault", "crash"), ("got SIGSEGV", "crash"), ("std::bad_alloc", "oom"), ("ENOMEM", "oom"), ("Out of memory", "oom"), ("Timed out", "timeout"), ("timeout after 5 s", "timeout"),
+    ("FATAL: disk", "fatal"), ("Fatal error", "fatal"), ("an error, retried", "other"), ("done", "other"),
+]
+
+
+@query(f"""select o_orderkey, cast(o_orderkey * 10 as double) as rows_written, o_totalprice as throughput, cast(null as double) as write_rate, cast(o_custkey as double) as file_size, o_orderkey % 100 / 10 as elapsed,
+          list_extract({_list([x for _, x in _FAULTS])}, cast(o_orderkey % {len(_FAULTS)} as int) + 1) as problem from orders""")
 def regex_extract_metrics(spark, sf_dir):
     k = F.col("o_orderkey")
-    tail = F.when(k % 3 == 0, "std::bad_alloc").when(k % 3 == 1, "Timed out").otherwise("done")
-    text = F.concat(F.lit("Rows written: "), (k * 10).cast("string"), F.lit("\nThroughput: "), F.format_string("%.2f", "o_totalprice"), F.lit(" rows/sec\n"), tail)
-    run = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
-    return run.select("o_orderkey", *[A.metric(F.col("t"), m).alias(m) for m in ("rows_written", "throughput", "write_rate")], A.classify(F.col("t"), A.ERRORS).alias("problem"))
+    tail = F.element_at(F.array(*[F.lit(x) for x, _ in _FAULTS]), (k % len(_FAULTS)).cast("int") + 1)
+    elapsed = F.concat(F.when(k % 2 == 0, "Time elapsed: ").otherwise("Elapsed time: "), F.format_string("%.1f", k % 100 / 10.0))
+    lines = [F.concat(F.lit("Rows written: "), (k * 10).cast("string")), F.concat(F.lit("File size: "), F.col("o_custkey").cast("string")), elapsed, F.concat(F.lit("Throughput: "), F.format_string("%.2f", "o_totalprice"), F.lit(" rows/sec")), tail]
+    run = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\n", *lines).alias("t"))
+    return run.select("o_orderkey", *[A.metric(F.col("t"), m).alias(m) for m in A.METRICS], A.classify(F.col("t"), A.ERRORS).alias("problem"))
+
+
+@query("""select event_id, case when event_id % 5 > 0 then event_type end as format, case when event_id % 5 > 0 then case when event_id % 2 = 0 then 'order_lines' else 'part' end end as "table",
+          case when event_id % 5 > 0 then 'async' end as mode from events""")
+def run_name_parts(spark, sf_dir):
+    k = F.col("event_id")
+    name = F.when(k % 5 > 0, F.concat(F.lit("/logs/run.1/"), "event_type", F.when(k % 2 == 0, "_order_lines").otherwise("_part"), F.lit("_async.log"))).otherwise(F.concat(F.lit("/logs/"), "event_type", F.lit("_part.log")))
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in A.run_name(name).items()])
+
+
+_PROFILE = [("encode", "parquet|zstd"), ("memory", "alloc|memcpy"), ("io", r"write|\[k")]
+
+
+def _profile(spark, sf_dir):
+    """Lines of a made-up profile from line items; every ninth has another form."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    symbol = F.element_at(F.array(*[F.lit(x) for x in ("ZSTD_compress", "memcpy", "do_write", "main")]), (k % 4).cast("int") + 1)
+    share = F.concat((k % 3).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))
+    line = F.concat(F.lit("   "), share, F.lit("%  app  ["), F.when(n % 2 == 0, "kernel").otherwise("libx.so"), F.lit("]  "), symbol, F.lit("  "))
+    return table(spark, sf_dir, "lineitem").select(F.when(k % 9 == 0, F.lit("# note 9%")).otherwise(line).alias("line"))
+
+
+_HOT = """(select (l_orderkey % 3) + (l_orderkey % 100) / 100 as percentage, case when l_linenumber % 2 = 0 then 'kernel' else 'libx.so' end as dso, list_extract(['ZSTD_compress', 'memcpy', 'do_write', 'main'], cast(l_orderkey % 4 as int) + 1) as symbol,
+          case l_orderkey % 4 when 0 then 'encode' when 1 then 'memory' when 2 then 'io' else 'other' end as category from lineitem where l_orderkey % 9 > 0)"""
+
+
+@query(f"select dso, symbol, category, count(*) as n, round(sum(percentage), 4) as total from {_HOT} where percentage >= 0.5 group by 1, 2, 3")
+def hotspot_lines(spark, sf_dir):
+    found = A.hotspots(_profile(spark, sf_dir), "line", _PROFILE)
+    return found.groupBy("dso", "symbol", "category").agg(F.count("*").alias("n"), F.round(F.sum("percentage"), 4).alias("total"))
+
+
+@query(f"select category, count(*) as n, round(sum(percentage), 4) as total from {_HOT} where percentage >= 0.5 group by 1 order by 3 desc, 1")
+def sum_by_category(spark, sf_dir):
+    found = A.hotspots(_profile(spark, sf_dir), "line", _PROFILE)
+    return A.sum_by(found, F.col("category"), "percentage").withColumn("total", F.round("total", 4))
+
+
+_PAIRS = """(select l_linenumber, l_linestatus, l_shipdate::date as day, avg(l_extendedprice) filter (where l_returnflag = 'A') as a, avg(l_extendedprice) filter (where l_returnflag = 'R') as b from lineitem group by 1, 2, 3)"""
+
+
+@query(f"select l_linestatus, l_linenumber, count(*) as pairs, round(avg(a / b), 6) as mean_ratio, count(*) filter (where a > b) as a_wins, count(*) filter (where a <= b) as b_wins from {_PAIRS} where a > 0 and b > 0 group by 1, 2")
+def ab_summary(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    pairs = A.compare(lines, ["l_linenumber", "l_linestatus", "day"], "l_returnflag", "A", "R", "l_extendedprice")
+    return A.summarise(pairs, ["l_linestatus", "l_linenumber"]).withColumn("mean_ratio", F.round("mean_ratio", 6))
+
+
+@query("""select l_linestatus, l_linenumber, max(l_quantity) filter (where l_returnflag = 'A') as "A_l_quantity", max(l_extendedprice) filter (where l_returnflag = 'A') as "A_l_extendedprice",
+          max(l_quantity) filter (where l_returnflag = 'N') as "N_l_quantity", max(l_extendedprice) filter (where l_returnflag = 'N') as "N_l_extendedprice" from lineitem group by 1, 2""")
+def cross_tab_cells(spark, sf_dir):
+    return A.cross_tab(table(spark, sf_dir, "lineitem"), ["l_linestatus", "l_linenumber"], "l_returnflag", ["A", "N"], ["l_quantity", "l_extendedprice"])
+
+
+@query("""select l_returnflag, l_linestatus, l_linenumber, round(avg(l_quantity), 6) as quantity, round(avg(l_extendedprice), 6) as price, case when grouping(l_returnflag) = 1 then 2 when grouping(l_linenumber) = 1 then 0 else 1 end as level
+          from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag, l_linenumber), (l_linestatus))""")
+def grouping_set_means(spark, sf_dir):
+    sets = [["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linenumber"], ["l_linestatus"]]
+    out = A.means_by_sets(table(spark, sf_dir, "lineitem"), sets, {"quantity": "l_quantity", "price": "l_extendedprice"})
+    return out.withColumn("quantity", F.round("quantity", 6)).withColumn("price", F.round("price", 6))
+
+
+@query("select o_orderkey, case when o_custkey % 5 > 0 then o_totalprice / (o_custkey % 5) else 0 end as rate from orders")
+def derived_rate(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.derived_rate(F.col("o_totalprice"), F.col("o_custkey") % 5).alias("rate"))
+
+
+@query("""with m as (select l_linestatus, l_returnflag, avg(l_quantity) as mean, stddev_samp(l_quantity) as deviation, count(l_quantity) as n from lineitem group by 1, 2)
+          select l_linestatus, l_returnflag, round(m.mean, 6) as mean, round(deviation, 6) as deviation, n, round(m.mean / b.mean, 6) as speedup
+          from m left join (select l_linestatus as s, mean from m where l_returnflag = 'R') b on l_linestatus = s""")
+def speedup_vs_baseline(spark, sf_dir):
+    out = A.vs_baseline(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_returnflag", "R", "l_quantity")
+    return out.select("l_linestatus", "l_returnflag", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "speedup")], "n")
+
+
+@query("select p_partkey, 6001215 // (p_size * 500) as batches, least(greatest(22 + (6001215 // (p_size * 500) - 600) * 0.015::double, 18), 30) as encoding_pct from part")
+def batch_size_metrics(spark, sf_dir):
+    found = A.batch_metrics(6_001_215, F.col("p_size") * 500)
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in found.items()])
+
+
+_RECORDS = "(select o_orderstatus as s, case when o_orderkey % 4 = 0 then 'FAILED' when o_orderkey % 4 = 1 then cast(o_custkey as varchar) else cast(o_custkey as varchar) || ' rows/sec' end as t, o_orderkey % 4 > 0 as ok, o_custkey from orders)"
+
+
+@query(f"select s as test, cast(floor(sum(o_custkey) filter (where ok) / count(*) filter (where ok)) as bigint) as mean, count(*) as n, count(*) filter (where ok) as passed, count(*) filter (where not ok) as failed from {_RECORDS} group by 1")
+def record_summary(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rate = F.when(k % 4 == 0, "FAILED").when(k % 4 == 1, F.col("o_custkey").cast("string")).otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(" rows/sec")))
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderstatus", k.cast("string"), rate, F.lit("a,b")).alias("line"))
+    rows = A.records(lines, "line", ["test", "rows", "throughput", "rest"])
+    out = rows.groupBy("test").agg(A.whole_mean(F.col("throughput")).alias("mean"), F.count("*").alias("n"), F.count_if(F.col("throughput") != "FAILED").alias("passed"))
+    return out.withColumn("failed", F.col("n") - F.col("passed"))
+
+
+@query("""select o_orderpriority as log, cast(arg_max(o_custkey, o_orderkey) as varchar) || ',000' as last, arg_max(o_custkey, o_orderkey) * 1000 > 100000 as fast from orders where o_orderstatus = 'F' group by 1""")
+def last_matching_line(spark, sf_dir):
+    what = F.when(F.col("o_orderstatus") == "F", "Throughput:  ").otherwise("Rows written: ")
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("log"), "o_orderkey", F.concat(F.lit("  "), what, F.col("o_custkey").cast("string"), F.lit(",000 ")).alias("line"))
+    return A.last_match(lines, ["log"], "o_orderkey", "line", "Throughput:").withColumn("fast", A.above(F.col("last"), 100_000))
+
+
+@query("select event_id, event_type || ': ' || cast(event_id as varchar) as line from events where contains(event_type, 'c') or contains(event_type, 'v') or event_id % 1000 = 7")
+def line_filter(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(": "), F.col("event_id").cast("string")).alias("line"))
+    return A.matching_lines(lines, "line", ["c", "v"]).union(lines.where((F.col("event_id") % 1000 == 7) & ~F.col("line").contains("c") & ~F.col("line").contains("v")))
+
+
+@query("select event_type as name, round(sum(event_id) / 1000, 3) as total_ms, count(event_id) as calls, cast(floor(avg(event_id)) as bigint) as mean_us from events group by 1")
+def timer_totals(spark, sf_dir):
+    return runs.timer_report(table(spark, sf_dir, "events"), "event_type", "event_id").withColumn("total_ms", F.round("total_ms", 3))
+
+
+@query("select p_partkey, 0 as flags, cast(length(split_part(t, '.', 2)) as int) as precision, cast(length(split_part(t, '.', 1)) as int) as scale, cast(replace(t, '.', '') as bigint) as number from (select p_partkey, case when p_partkey % 2 = 0 then '-' else '' end || cast(p_size as varchar) || case when p_partkey % 3 = 0 then '' else '.' || lpad(cast(p_partkey % 100 as varchar), 2, '0') end as t from part)")
+def decimal_text(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.col("p_size").cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"))))
+    return table(spark, sf_dir, "part").select("p_partkey", distributions.decimal_parts(text).alias("d")).select("p_partkey", "d.*")
+
+
+@query("select sum(8 + 4 + strlen(n_name) + 8 + 3 / 8.0::double) as bytes from nation")
+def batch_bytes(spark, sf_dir):
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))
+    return df.agg(F.sum(S.estimated_bytes(df)).alias("bytes"))
+
+
+@query(" union all ".join(f"select '{t}' as \"table\", '{k}' as format, count(*) as rows, true as whole from ({tpch.sql(t, 0.001, Duck())})" for k in ("parquet", "orc", "csv", "iceberg", "paimon") for t in ("region", "nation", "supplier", "part")))
+def run_report(spark, sf_dir):
+    """Four tables in each format, two tables at a time, and the report's lines; all written rows are read again."""
+    out = None
+    for kind in ("parquet", "orc", "csv", "iceberg", "paimon"):
+        made = {t: tpch.generate(spark, t, 0.001) for t in ("part", "supplier", "nation", "region")}
+        lines = runs.write_all(spark, made, kind, f"{runs.scratch(spark)}/{kind}", 2, {t: tpch.row_count(t, 0.001) for t in made})
+        for line in lines.collect():
+            back = sinks.read(spark, kind, line["path"], made[line["table"]].schema)
+            one = back.agg(F.lit(line["table"]).alias("table"), F.lit(kind).alias("format"), F.lit(line["rows"]).alias("rows"), (F.count("*") == line["rows"]).alias("whole"))
+            out = one if out is None else out.union(one)
+    return out
 
 
 @query("""select count(distinct l_returnflag) as returnflag, count(distinct l_linestatus) as linestatus, count(distinct l_suppkey) as suppliers, round(avg(case when l_discount > 0 then l_discount end), 6) as positive_mean,

@@ -1,104 +1,73 @@
-"""Sinks: Parquet, ORC, CSV, and an Iceberg v1 table whose metadata is committed by the driver after the data is written."""
+"""Sinks by format name: Parquet, ORC, CSV, Iceberg and Paimon tables, and Lance where a connector is there."""
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from brightloom.functions.codecs import avro_bytes, zigzag
+from brightloom.functions.dictionaries import DICTIONARIES
+from brightloom.sources import tables
 
 COMPRESSION = ("zstd", "snappy", "none")
-FORMATS = ("parquet", "orc", "csv", "iceberg")
-ICEBERG_TYPES = {"bigint": "long", "int": "int", "double": "double", "float": "float", "string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp"}
+#: A quote is doubled, spaces at the ends of a field stay.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+FORMATS = ("parquet", "orc", "csv", "iceberg", "paimon", "lance")
+
+
+def dictionary_options(columns: list[str]) -> dict[str, str]:
+    """Parquet's dictionary encoding for the columns of closed domains only."""
+    return {"parquet.enable.dictionary": "false"} | {f"parquet.enable.dictionary#{c}": "true" for c in columns if c in DICTIONARIES}
 
 
-def write(df: DataFrame, kind: str, path: str, compression: str = "zstd", rows_per_file: int = 10_000_000) -> None:
-    """Writes a table; unknown formats and compressions are errors. Dictionary codes are written as their text."""
+def write(df: DataFrame, kind: str, path: str, compression: str = "zstd", rows_per_file: int = 10_000_000, mode: str = "overwrite", dictionaries: bool = False) -> None:
+    """Writes a table; unknown formats and compressions are errors. Dictionary codes are written as their text.
+
+    mode: overwrite or append, the latter for files only. dictionaries: Parquet as dictionary_options has it.
+    """
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}; there are {FORMATS}")
     if compression not in COMPRESSION:
         raise ValueError(f"unknown compression {compression!r}; there are {COMPRESSION}")
-    w = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    if mode != "overwrite" and kind not in ("parquet", "orc", "csv"):
+        raise ValueError(f"{kind} tables are written in one go")
+    w = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     if kind == "parquet":
+        w = w.options(**dictionary_options(df.columns)) if dictionaries else w
         w.option("compression", compression).parquet(path)
     elif kind == "orc":
         w.option("compression", compression).option("orc.stripe.size", str(64 << 20)).option("orc.row.index.stride", "10000").orc(path)
     elif kind == "csv":
-        w.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+        w.options(**CSV, emptyValue="", nullValue="").csv(path)
+    elif kind == "iceberg":
+        tables.write_iceberg(df, path, compression, rows_per_file)
+    elif kind == "paimon":
+        tables.write_paimon(df, path, compression, rows_per_file)
     else:
-        write_iceberg(df, path, compression, rows_per_file)
+        _lance(lambda: w.format("lance").save(path))
+
+
+def _lance(f):
+    try:
+        return f()
+    except (PySparkException, Py4JJavaError) as e:
+        if "DATA_SOURCE_NOT_FOUND" in str(e):
+            raise ValueError("format 'lance' needs a connector of that name among the session's packages") from e
+        raise
 
 
 def read(spark: SparkSession, kind: str, path: str, schema) -> DataFrame:
     if kind == "csv":
-        return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-    if kind == "iceberg":
-        return spark.read.schema(schema).parquet(f"{path}/data")
+        return spark.read.schema(schema).options(**CSV).csv(path)
+    if kind in ("iceberg", "paimon"):
+        files = tables.iceberg_files(spark, path) if kind == "iceberg" else tables.paimon_files(spark, path)
+        return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    if kind == "lance":
+        return _lance(lambda: spark.read.format("lance").load(path))
     return spark.read.schema(schema).format(kind).load(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of all files below a folder."""
-    fs, p = _fs(spark, path)
+    fs, p = tables.file_system(spark, path)
     return fs.getContentSummary(p).getLength()
-
-
-def _put(spark: SparkSession, path: str, data: bytes) -> int:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(data))
-    out.close()
-    return len(data)
-
-
-def avro_container(schema: dict, records: list[bytes], meta: dict[str, str] | None = None) -> bytes:
-    """An Avro object container: magic, metadata, sync marker, and one block if there are records."""
-    sync = uuid.uuid4().bytes
-    entries = {"avro.schema": json.dumps(schema), "avro.codec": "null"} | (meta or {})
-    head = b"Obj\x01" + zigzag(len(entries)) + b"".join(avro_bytes(k) + avro_bytes(v) for k, v in entries.items()) + zigzag(0) + sync
-    body = b"".join(records)
-    return head + (zigzag(len(records)) + zigzag(len(body)) + body + sync if records else b"")
-
-
-def write_iceberg(df: DataFrame, path: str, compression: str = "zstd", rows_per_file: int = 10_000_000) -> None:
-    """Iceberg v1: data files by Spark, then manifest, manifest list, metadata and version hint; one append snapshot.
-
-    Unpartitioned and unsorted. What the driver handles is one line for each data file.
-    """
-    spark = df.sparkSession
-    unknown = [f.name for f in df.schema if f.dataType.simpleString() not in ICEBERG_TYPES and not f.dataType.simpleString().startswith("decimal")]
-    if unknown:
-        raise ValueError(f"no Iceberg type for {unknown}")
-    kind = lambda f: ICEBERG_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", compression).parquet(f"{path}/data")
-    counts = spark.read.schema(df.schema).parquet(f"{path}/data").groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).count().collect()
-    snapshot, now = int(time.time() * 1e6), int(time.time() * 1000)
-    schema = {"type": "struct", "schema-id": 0, "fields": [{"id": i + 1, "name": f.name, "required": False, "type": kind(f)} for i, f in enumerate(df.schema)]}
-    field = lambda n, t, i: {"name": n, "type": t, "field-id": i}
-    data_file = {"type": "record", "name": "r2", "fields": [field("file_path", "string", 100), field("file_format", "string", 101), field("partition", {"type": "record", "name": "r102", "fields": []}, 102), field("record_count", "long", 103), field("file_size_in_bytes", "long", 104), field("block_size_in_bytes", "long", 105)]}
-    entry = {"type": "record", "name": "manifest_entry", "fields": [field("status", "int", 0), field("snapshot_id", ["null", "long"], 1), field("data_file", data_file, 2)]}
-    rows = [zigzag(1) + zigzag(1) + zigzag(snapshot) + avro_bytes(r["f"]) + avro_bytes("PARQUET") + zigzag(r["count"]) + zigzag(r["s"]) + zigzag(64 << 20) for r in counts]
-    manifest = f"{path}/metadata/{uuid.uuid4()}-m0.avro"
-    size = _put(spark, manifest, avro_container(entry, rows, {"schema": json.dumps(schema), "partition-spec": "[]", "partition-spec-id": "0", "format-version": "1"}))
-    total = sum(r["count"] for r in counts)
-    listed = {"type": "record", "name": "manifest_file", "fields": [field("manifest_path", "string", 500), field("manifest_length", "long", 501), field("partition_spec_id", "int", 502), field("added_snapshot_id", ["null", "long"], 503), field("added_data_files_count", ["null", "int"], 504), field("added_rows_count", ["null", "long"], 512)]}
-    row = avro_bytes(manifest) + zigzag(size) + zigzag(0) + zigzag(1) + zigzag(snapshot) + zigzag(1) + zigzag(len(counts)) + zigzag(1) + zigzag(total)
-    manifests = f"{path}/metadata/snap-{snapshot}-1-{uuid.uuid4()}.avro"
-    _put(spark, manifests, avro_container(listed, [row]))
-    meta = {
-        "format-version": 1, "table-uuid": str(uuid.uuid4()), "location": path, "last-updated-ms": now, "last-column-id": len(df.schema), "schema": schema, "schemas": [schema], "current-schema-id": 0,
-        "partition-spec": [], "partition-specs": [{"spec-id": 0, "fields": []}], "default-spec-id": 0, "last-partition-id": 999, "sort-orders": [{"order-id": 0, "fields": []}], "default-sort-order-id": 0, "properties": {},
-        "current-snapshot-id": snapshot, "snapshots": [{"snapshot-id": snapshot, "timestamp-ms": now, "manifest-list": manifests, "summary": {"operation": "append", "added-data-files": str(len(counts)), "added-records": str(total), "total-records": str(total)}}],
-        "snapshot-log": [{"snapshot-id": snapshot, "timestamp-ms": now}], "metadata-log": [],
-    }
-    _put(spark, f"{path}/metadata/v1.metadata.json", json.dumps(meta, indent=1).encode())
-    _put(spark, f"{path}/metadata/version-hint.text", b"1")

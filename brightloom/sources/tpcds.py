@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brightloom.functions import dictionaries as D
 from brightloom.plans.schemas import TPCDS, table_columns
+from brightloom.sources import text
 from brightloom.sources.dialects import Spark
 
 #: Rows that do not depend on the scale factor, and rows at scale factor 1 of tables in proportion to it or to its root;
@@ -29,6 +30,25 @@ REFERS = {
 }
 
 
+#: Words of text columns by the end of their names; a closed list of the generator's own, as the official ones are not public
+#: domain files here.
+NAMES = {
+    "first_name": ["James", "Mary", "John", "Linda", "Robert", "Susan", "Karen", "David", "Nancy", "Paul", "Laura", "Mark", "Helen", "Peter", "Ruth", "Frank"],
+    "last_name": ["Smith", "Jones", "Brown", "Miller", "Davis", "Garcia", "Wilson", "Moore", "Taylor", "Thomas", "White", "Harris", "Clark", "Lewis", "Young", "King"],
+    "city": ["Midway", "Fairview", "Oak Grove", "Five Points", "Centerville", "Riverside", "Pleasant Hill", "Salem", "Liberty", "Greenville", "Union", "Springfield"],
+    "county": ["Williamson County", "Franklin County", "Walker County", "Ziebach County", "Bronx County", "Daviess County", "Barrow County", "Luce County"],
+    "street_name": ["Oak", "Main", "Park", "Elm", "Maple", "Cedar", "Pine", "Lake", "Hill", "First", "Second", "Third", "Walnut", "Spring", "Ridge", "Church"],
+    "manager": ["Bob Belcher", "Felipe Perkins", "Mark Hightower", "Larry Mccray", "Gary Colburn", "Wayne Ray", "Scott Smith", "Edwin Adams"],
+    "birth_country": ["CANADA", "FRANCE", "GERMANY", "JAPAN", "PERU", "KENYA", "BRAZIL", "IRELAND"],
+    "class": ["accent", "classical", "pop", "rock", "fiction", "history", "travel", "dresses", "pants", "shirts", "camping", "fitness"],
+    "reason_desc": ["Package was damaged", "Stopped working", "Did not fit", "Found a better price", "Wrong size", "Not the product that was ordered", "Parts missing", "Gift exchange"],
+}
+#: The longest part of the pool that a description, market text or the like has.
+PROSE = {"desc": 100, "description": 100, "market_desc": 100, "mkt_desc": 100, "details": 100}
+RETURNS_MODES = ("reference", "spec")
+POOL = text.pool(512)
+
+
 def row_count(table: str, sf: float) -> int:
     """Rows of a table; of a sales table its tickets or orders, of a returns table all rows (one for each ticket)."""
     if sf <= 0:
@@ -55,13 +75,16 @@ def _sales(p: str, key: str, d) -> dict[str, str]:
     }
 
 
-def _priced(table: str, sf: float, d, returned: bool = False) -> str:
-    """Lines of a sales table with prices as integers; ``returned``: the last line of each ticket."""
+def _priced(table: str, sf: float, d, returned: str | None = None) -> str:
+    """Lines of a sales table with prices as integers; ``returned`` as "reference": the last line of each ticket; as "spec":
+    one line in ten, by a draw."""
     least, most = LINES[table]
     u = lambda s, n, lo=0, k="k": f"({lo} + {d.draw(f'{table}_{s}', k)} % {n})"
     base = d.rows(row_count(table, sf))
     count = f"{least} + {d.draw(f'{table}_lines')} % {most - least + 1}"
-    lines = f"(select id, line, id * 32 + line as k from {d.children(base, count)})" if not returned else f"(select id, {count} as line, id * 32 + {count} as k from {base})"
+    lines = f"(select id, line, id * 32 + line as k from {d.children(base, count)})" if returned != "reference" else f"(select id, {count} as line, id * 32 + {count} as k from {base})"
+    if returned == "spec":
+        lines = f"(select * from {lines} where {u('returned', 10)} = 0)"
     one = f"(select *, {u('qty', 100, 1)} as qty, {u('cost', 9_901, 100)} as cost, {u('up', 101)} as up, {u('off', 101)} as off, {u('tax', 10)} as tax, {u('cut', 5)} as cut, {u('cutp', 101)} as cutp, {u('ship', 51)} as shipp from {lines})"
     two = f"(select *, cost + {d.div('cost * up', '100')} as listed from {one})"
     three = f"(select *, listed - {d.div('listed * off', '100')} as price, {d.div('qty * listed * shipp', '200')} as shipping from {two})"
@@ -146,6 +169,12 @@ def _plain(table: str, column: str, kind: str, sf: float, d, key: str) -> str:
             return f"lpad(cast({u(100_000)} as varchar(20)), 5, '0')"
         if column.endswith("email_address"):
             return f"concat(substr({d.hash(column, key)}, 1, 12), '@example.org')"
+        for end, words in NAMES.items():
+            if column.endswith(end):
+                return d.pick(words, u(len(words)))
+        for end, most in PROSE.items():
+            if column.endswith(end):
+                return text.part(d, POOL, d.draw(f"{table}.{column}", key), 10, most)
         return f"concat('{column.split('_', 1)[-1]}_', cast({u(1_000)} as varchar(20)))"
     ranges = {"day": (28, 1), "month": (12, 1), "year": (69, 1924), "street_number": (1_000, 1), "quantity_on_hand": (1_001, 0), "employees": (101, 200), "autogen_flag": (2, 0), "preferred_cust_flag": (2, 0), "discount_active": (2, 0)}
     for end, (n, lo) in ranges.items():
@@ -154,17 +183,22 @@ def _plain(table: str, column: str, kind: str, sf: float, d, key: str) -> str:
     return u(2) if "_channel_" in column else u(1_000, 1)
 
 
-def sql(table: str, sf: float, d=None) -> str:
-    """The table as one SELECT in the dialect d."""
+def sql(table: str, sf: float, d=None, returns_mode: str = "reference") -> str:
+    """The table as one SELECT in the dialect d. returns_mode: one return for each ticket, or ("spec") of a tenth of the lines."""
+    if returns_mode not in RETURNS_MODES:
+        raise ValueError(f"unknown returns mode {returns_mode!r}; there are {RETURNS_MODES}")
     d = d or Spark()
     n, key, values = row_count(table, sf), "id", {}
     source = d.rows(n)
     if table in LINES or table.endswith("_returns"):
         sales = table.replace("returns", "sales")
-        source, key = _priced(sales, sf, d, table != sales), "k"
+        source, key = _priced(sales, sf, d, None if table == sales else returns_mode), "k"
         p = table_columns("ds", table)[0][0].split("_")[0]
         values = _sales(p, key, d) if table == sales else _refunds(p, table, d)
         values |= {f"{p}_ticket_number": "id", f"{p}_order_number": "id"}
+        if table != sales:  # what comes back is what the line sold
+            sold = table_columns("ds", sales)[0][0].split("_")[0]
+            values[f"{p}_item_sk"] = _plain(sales, f"{sold}_item_sk", "bigint", sf, d, key)
     elif table in ("date_dim", "time_dim", "household_demographics", "customer_demographics", "income_band"):
         source = f"(select id, id as n from {d.rows(n, 0)})"
         values = {
@@ -187,9 +221,9 @@ def sql(table: str, sf: float, d=None) -> str:
     return f"select {', '.join(out)} from {source} as t"
 
 
-def generate(spark: SparkSession, table: str, sf: float) -> DataFrame:
+def generate(spark: SparkSession, table: str, sf: float, returns_mode: str = "reference") -> DataFrame:
     """One table at a scale factor (fractions allowed). No table needs a shuffle: returns recompute their ticket's line."""
-    return spark.sql(sql(table, sf))
+    return spark.sql(sql(table, sf, returns_mode=returns_mode))
 
 
 def all_tables(spark: SparkSession, sf: float) -> dict[str, DataFrame]:

@@ -1,4 +1,6 @@
-"""TPC-H tables: every row from its key, by the formulas of the public specification."""
+"""TPC-H tables: every row from its key. Keys, prices, dates, flags and domains follow the formulas of the public
+specification; the random draws are functions of the key, so the values are not those of the official generator. Comments
+are parts of a pool of sentences by the specification's grammar, with its lengths."""
 
 from __future__ import annotations
 
@@ -6,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brightloom.functions import dictionaries as D
 from brightloom.plans.schemas import TPCH, table_columns
+from brightloom.sources import text
 from brightloom.sources.dialects import Spark
 
 #: Rows at scale factor 1, as fixed values; lineitem follows from orders (1 to 7 each), nation and region do not scale.
@@ -13,7 +16,7 @@ ROWS = {"part": 200_000, "supplier": 10_000, "partsupp": 800_000, "customer": 15
 #: Nation names with their steps to the region key, and regions, as fixed values.
 NATIONS = {"ALGERIA": 0, "ARGENTINA": 1, "BRAZIL": 0, "CANADA": 0, "EGYPT": 3, "ETHIOPIA": -4, "FRANCE": 3, "GERMANY": 0, "INDIA": -1, "INDONESIA": 0, "IRAN": 2, "IRAQ": 0, "JAPAN": -2, "JORDAN": 2, "KENYA": -4, "MOROCCO": 0, "MOZAMBIQUE": 0, "PERU": 1, "CHINA": 1, "ROMANIA": 1, "SAUDI ARABIA": 1, "VIETNAM": -2, "RUSSIA": 1, "UNITED KINGDOM": 0, "UNITED STATES": -2}
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-WORDS = ["quickly", "final", "ironic", "deposits", "packages", "accounts", "sleep", "haggle", "carefully", "requests", "theodolites", "furiously", "regular", "bold", "platelets", "instructions"]
+POOL, ADDRESSES = text.pool(text.POOL_CHARS), text.letters(512)
 #: 1995-06-17 as days since 1992-01-01.
 CURRENT = 1263
 
@@ -27,9 +30,15 @@ def row_count(table: str, sf: float) -> int:
     return ROWS[table] if table in ("nation", "region") else max(1, round(ROWS[table] * sf))
 
 
-def _comment(d, stream: str, key: str) -> str:
-    words = [d.pick(WORDS, f"{d.draw(f'{stream}{i}', key)} % {len(WORDS)}") for i in range(4)]
-    return "concat_ws(' ', " + ", ".join(words) + ")"
+def _comment(d, column: str, key: str) -> str:
+    return text.part(d, POOL, d.draw(column, key), *text.LENGTHS[column])
+
+
+def _supplier_comment(d) -> str:
+    """One in 1,000 suppliers has customers' complaints or recommendations in its comment."""
+    whole, kind = _comment(d, "s_comment", "id"), f"({d.draw('s_customers')} % 2000)"
+    told = f"concat(substr({whole}, 1, 10), 'Customer ', substr({whole}, 11, 8), case when {kind} = 0 then 'Complaints' else 'Recommends' end)"
+    return f"case when {kind} < 2 then {told} else {whole} end"
 
 
 def _lines(d, sf: float) -> str:
@@ -60,7 +69,7 @@ def sql(table: str, sf: float, d=None) -> str:
             "l_extendedprice": money("qty * retail"), "l_discount": money("disc"), "l_tax": money("tax"),
             "l_returnflag": f"case when got > {CURRENT} then 'N' when {u('l_flag', 2, 0, 'k')} = 0 then 'R' else 'A' end",
             "l_linestatus": f"case when ship > {CURRENT} then 'O' else 'F' end", "l_commitdate": d.day("due"), "l_shipdate": d.day("ship"), "l_receiptdate": d.day("got"),
-            "l_shipinstruct": d.pick(D.SHIP_INSTRUCT, u("l_inst", 4, 0, "k")), "l_shipmode": d.pick(D.SHIP_MODE, u("l_mode", 7, 0, "k")), "l_comment": _comment(d, "l_c", "k"),
+            "l_shipinstruct": d.pick(D.SHIP_INSTRUCT, u("l_inst", 4, 0, "k")), "l_shipmode": d.pick(D.SHIP_MODE, u("l_mode", 7, 0, "k")), "l_comment": _comment(d, "l_comment", "k"),
         }
         source = receipt
     elif table == "orders":
@@ -71,14 +80,14 @@ def sql(table: str, sf: float, d=None) -> str:
         values = {
             "o_orderkey": key("id"), "o_custkey": f"case when {c} % 3 = 0 then {c} - 1 else {c} end",
             "o_orderstatus": "case when open_lines = 0 then 'F' when open_lines = lines then 'O' else 'P' end", "o_totalprice": "cast(total as double) / 1000000", "o_orderdate": d.day("od"),
-            "o_orderpriority": d.pick(D.ORDER_PRIORITY, u("o_prio", 5)), "o_clerk": name("Clerk", u("o_clerk", max(1, round(1000 * sf)), 1)), "o_shippriority": "cast(0 as bigint)", "o_comment": _comment(d, "o_c", "id"),
+            "o_orderpriority": d.pick(D.ORDER_PRIORITY, u("o_prio", 5)), "o_clerk": name("Clerk", u("o_clerk", max(1, round(1000 * sf)), 1)), "o_shippriority": "cast(0 as bigint)", "o_comment": _comment(d, "o_comment", "id"),
         }
     elif table == "partsupp":
         supps = row_count("supplier", sf)
         source = f"(select id, line, id * 8 + line as k from {d.children(d.rows(row_count('part', sf)), '4')})"
         values = {
             "ps_partkey": "id", "ps_suppkey": f"(id + (line - 1) * ({d.div(str(supps), '4')} + {d.div('id - 1', str(supps))})) % {supps} + 1",
-            "ps_availqty": u("ps_qty", 9999, 1, "k"), "ps_supplycost": money(u("ps_cost", 99_901, 100, "k")), "ps_comment": _comment(d, "ps_c", "k"),
+            "ps_availqty": u("ps_qty", 9999, 1, "k"), "ps_supplycost": money(u("ps_cost", 99_901, 100, "k")), "ps_comment": _comment(d, "ps_comment", "k"),
         }
     elif table in ("nation", "region"):
         source, at = d.rows(n, 0), "id"
@@ -87,21 +96,21 @@ def sql(table: str, sf: float, d=None) -> str:
             steps += step
             region.append(str(steps))
         if table == "nation":
-            values = {"n_nationkey": "id", "n_name": d.pick(list(NATIONS), at), "n_regionkey": f"cast({d.pick(region, at)} as bigint)", "n_comment": _comment(d, "n_c", "id")}
+            values = {"n_nationkey": "id", "n_name": d.pick(list(NATIONS), at), "n_regionkey": f"cast({d.pick(region, at)} as bigint)", "n_comment": _comment(d, "n_comment", "id")}
         else:
-            values = {"r_regionkey": "id", "r_name": d.pick(REGIONS, at), "r_comment": _comment(d, "r_c", "id")}
+            values = {"r_regionkey": "id", "r_name": d.pick(REGIONS, at), "r_comment": _comment(d, "r_comment", "id")}
     else:
         source = d.rows(n)
         syllable = lambda s, m: d.pick(m, u(s, len(m)))
         mfgr = u("p_mfgr", 5, 1)
         values = {
-            "c_custkey": "id", "c_name": name("Customer", "id"), "c_address": f"substr({d.hash('c_addr')}, 1, cast({u('c_len', 23, 10)} as int))", "c_nationkey": u("c_nation", 25), "c_phone": phone("c"),
-            "c_acctbal": money(f"({u('c_bal', 1_099_999)} - 99999)"), "c_mktsegment": d.pick(D.MARKET_SEGMENT, u("c_seg", 5)), "c_comment": _comment(d, "c_c", "id"),
-            "s_suppkey": "id", "s_name": name("Supplier", "id"), "s_address": f"substr({d.hash('s_addr')}, 1, cast({u('s_len', 23, 10)} as int))", "s_nationkey": u("s_nation", 25), "s_phone": phone("s"),
-            "s_acctbal": money(f"({u('s_bal', 1_099_999)} - 99999)"), "s_comment": _comment(d, "s_c", "id"),
+            "c_custkey": "id", "c_name": name("Customer", "id"), "c_address": text.part(d, ADDRESSES, d.draw("c_addr"), 10, 40), "c_nationkey": u("c_nation", 25), "c_phone": phone("c"),
+            "c_acctbal": money(f"({u('c_bal', 1_099_999)} - 99999)"), "c_mktsegment": d.pick(D.MARKET_SEGMENT, u("c_seg", 5)), "c_comment": _comment(d, "c_comment", "id"),
+            "s_suppkey": "id", "s_name": name("Supplier", "id"), "s_address": text.part(d, ADDRESSES, d.draw("s_addr"), 10, 40), "s_nationkey": u("s_nation", 25), "s_phone": phone("s"),
+            "s_acctbal": money(f"({u('s_bal', 1_099_999)} - 99999)"), "s_comment": _supplier_comment(d),
             "p_partkey": "id", "p_name": "concat_ws(' ', " + ", ".join(d.pick(D.COLOR, u(f"p_n{i}", 92)) for i in range(5)) + ")", "p_mfgr": f"concat('Manufacturer#', cast({mfgr} as varchar(20)))",
             "p_brand": f"concat('Brand#', cast({mfgr} as varchar(20)), cast({u('p_brand', 5, 1)} as varchar(20)))", "p_type": f"concat_ws(' ', {syllable('p_t1', D.TYPE_1)}, {syllable('p_t2', D.TYPE_2)}, {syllable('p_t3', D.TYPE_3)})",
-            "p_size": u("p_size", 50, 1), "p_container": d.pick(D.CONTAINER, u("p_cont", 40)), "p_retailprice": money(f"90000 + ({d.div('id', '10')}) % 20001 + 100 * (id % 1000)"), "p_comment": _comment(d, "p_c", "id"),
+            "p_size": u("p_size", 50, 1), "p_container": d.pick(D.CONTAINER, u("p_cont", 40)), "p_retailprice": money(f"90000 + ({d.div('id', '10')}) % 20001 + 100 * (id % 1000)"), "p_comment": _comment(d, "p_comment", "id"),
         }
     wanted = [f"{values[c]} as {c}" for c, _, _ in table_columns("h", table)]
     return f"select {', '.join(wanted)} from {source} as t"
