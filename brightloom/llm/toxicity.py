@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import Words, held_out, labelled_sample, map_arrow, need, sigmoid, slices
+from brightloom.llm.common import Words, held_out, labelled_sample, map_arrow, materialize, need, sigmoid, slices
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -70,8 +70,25 @@ class Machine:
         return sigmoid(self.margin(doc[known], slot[known], len(column)))
 
 
-def fit(lists: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], seed: int = 5) -> Machine:
-    """Adagrad on weighted logistic loss; weights give the classes the shares they have among all labelled rows."""
+def choose(with_term: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The buckets that take part, best first. with_term: for each class (0, 1) the texts that have each bucket, of n.
+
+    A term that by itself does not tell the classes apart takes no part, so neither do its pairs.
+    """
+    b, a = with_term
+    n0, n1 = np.maximum(n, 1)
+    both = n0 + n1
+    expected = (a + b) * (n1 / both)
+    chi = np.where(a + b >= 4, (a - expected) ** 2 * both / np.maximum(expected * (1 - (a + b) / both) * (n0 / both), 1e-9), 0)
+    best = np.argsort(-chi, kind="stable")[:TERMS]
+    return best[chi[best] >= CHI_SQUARE]
+
+
+def fit(lists: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], best: np.ndarray | None = None, seed: int = 5) -> Machine:
+    """Adagrad on weighted logistic loss; weights give the classes the shares they have among all labelled rows.
+
+    best: the buckets that take part, as choose() has them; chosen from the lists if not given.
+    """
     place = np.full(BUCKETS, -1, np.int32)
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     total = max(1, sizes.get(0, 0) + sizes.get(1, 0))
@@ -80,12 +97,9 @@ def fit(lists: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], seed: int
         return Machine(float(np.log(prior / (1 - prior))), place, np.zeros(1), np.zeros((1, FACTORS)))
     flat = np.concatenate(lists).astype(np.int64)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    a, b = np.bincount(flat[y[owner] == 1], minlength=BUCKETS), np.bincount(flat[y[owner] == 0], minlength=BUCKETS)
+    if best is None:
+        best = choose(np.stack([np.bincount(flat[y[owner] == c], minlength=BUCKETS) for c in (0, 1)]), np.array([n0, n1]))
     n = n1 + n0
-    expected = (a + b) * (n1 / n)
-    chi = np.where(a + b >= 4, (a - expected) ** 2 * n / np.maximum(expected * (1 - (a + b) / n) * (n0 / n), 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:TERMS]
-    best = best[chi[best] >= CHI_SQUARE]
     place[best] = np.arange(len(best), dtype=np.int32)
     slot = place[flat]
     owner, slot = owner[slot >= 0], slot[slot >= 0].astype(np.int64)
@@ -117,14 +131,46 @@ def fit(lists: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], seed: int
     return Machine(w0, place, w, v)
 
 
+def _only(shared):
+    """Rows (y, terms) to those of the terms that take part."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = np.zeros(BUCKETS, bool)
+        part[shared.value] = True
+        for b in batches:
+            x = b.column(1)
+            cuts = x.offsets.to_numpy() - x.offsets[0].as_py()
+            flat = x.flatten().to_numpy()
+            kept = part[flat]
+            cuts = np.concatenate([[0], np.cumsum(kept)])[cuts].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[kept]))], names=["y", "terms"])
+
+    return f
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """Fits a machine on up to ``sample`` labelled documents of each class that are not held out.
+
+    Of rows that repeat an id the least text counts. The sample's terms stay in the shared folder: the driver gets how many
+    texts of each class have a bucket, at most BUCKETS lines, and then of each sampled text the up to TERMS terms that take
+    part.
+    """
     ids, sizes = labelled_sample(labels, "toxic", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(F.broadcast(ids), F.col("d") == F.col("l_id"))
-    got = map_arrow(rows.select("text", "y"), _term_lists(), "y int, terms array<int>").toArrow()
-    lists = [x.values.to_numpy() for x in got["terms"]]  # arrays, not Python numbers: the sample is held by the driver
+    rows = rows.groupBy("d").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    lists = materialize(map_arrow(rows.select("text", "y"), _term_lists(), "y int, terms array<int>"), "toxic-terms")
+    counts = lists.select("y", F.explode("terms").alias("t")).groupBy("y", "t").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("t").agg(*[F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]).toArrow()
+    with_term = np.zeros((2, BUCKETS))
+    for c in (0, 1):
+        with_term[c, counts["t"].to_numpy()] = counts[f"n{c}"].to_numpy()
+    n = {r["y"]: r["count"] for r in lists.groupBy("y").count().collect()}
+    best = choose(with_term, np.array([n.get(0, 0), n.get(1, 0)]))
+    got = map_arrow(lists, _only(docs.sparkSession.sparkContext.broadcast(best)), "y int, terms array<int>").toArrow()
+    kept = [x.values.to_numpy() for x in got["terms"]]
     y = np.array(got["y"].to_pylist(), np.int64)
-    order = sorted(range(len(y)), key=lambda i: (int(y[i]), len(lists[i]), lists[i].tobytes()))  # whatever the partitions
-    return fit([lists[i] for i in order], y[order], sizes)
+    order = sorted(range(len(y)), key=lambda i: (int(y[i]), len(kept[i]), kept[i].tobytes()))  # whatever the partitions
+    return fit([kept[i] for i in order], y[order], sizes, best)
 
 
 def toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
