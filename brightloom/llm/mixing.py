@@ -153,7 +153,8 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
 
 
 def mix(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """The training sequence: docs with every taken copy of every document, range-sorted by position.
+    """The training sequence: docs with every taken copy of every document, range-sorted by position, and where positions
+    are equal by source, doc_id and text, so that reruns agree.
 
     Adds ``position``, or ``mix_position`` where the table already has a column of that name.
     """
@@ -165,12 +166,17 @@ def mix(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed: str =
     of = lambda c: F.col(names[c])
     key = F.md5(F.coalesce(of("text"), F.lit("")).cast("binary"))
     joined = rows.join(plan, of("doc_id").eqNullSafe(F.col("_d")) & of("source").eqNullSafe(F.col("_s")) & (key == F.col("_h")))
-    return joined.select(*names.values(), F.explode("_p").alias("_at")).sort("_at").toDF(*names, name)
+    placed = joined.select(*names.values(), F.explode("_p").alias("_at"), key.alias("_key"))
+    return placed.sort("_at", of("source"), of("doc_id"), "_key").drop("_key").toDF(*names, name)
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
-    """The digest of the mix of all documents; each row of documents has its row, in the order of first positions."""
+    """The digest of the mix of all documents; each row of documents has its row, in the order of first positions.
+
+    copies: how often the mix has the document; first_position: the training time of the first copy, null of none.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = mix_plan(docs).withColumn("first", F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0)))
+    plan = mix_plan(docs).withColumn("first_position", F.round(F.try_element_at("positions", F.lit(1)), 9))
     plan = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return plan.sort("first", "doc_id").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    plan = plan.sort(F.asc_nulls_last("first_position"), "source", "doc_id", "text_hash")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "first_position")
