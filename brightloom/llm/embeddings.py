@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import components, map_arrow, materialize, need
+from brightloom.llm.common import components, map_arrow, materialize, mix64, need
 
 COSINE = 0.98
 #: Dimensions of a block. The squared distance of unit vectors is 2 - 2 cos; split over the blocks by their dimensions,
@@ -18,8 +18,9 @@ COSINE = 0.98
 BLOCK = 8
 #: Rounding of vectors and rotation: blocks are compared with this much more than their budget, pairs then exactly.
 SLACK = 1e-6
-#: Leading dimensions of a block by which its range join is dealt out, in cells of WIDTH times the block's radius.
-GRID, WIDTH = 2, 3.0
+#: A block's range join is dealt out in cells of WIDTH times the block's radius, by so many of its leading dimensions that
+#: there are about as many cells as chunks: a dimension has some CELLS cells that are well filled.
+WIDTH, CELLS, GRID = 3.0, 3, 2
 #: Vectors that one task compares with as many others; a larger cell is dealt out in pairs of chunks.
 CHUNK = 2_000
 
@@ -34,7 +35,7 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """(places, unit vectors) of the valid ones: not null, not zero, all components finite."""
     at, rows = [], []
     for i, v in enumerate(vectors):
-        if v is None or not len(v) or any(x is None for x in v):
+        if v is None or not len(v) or None in v:
             continue
         x = np.array(v, np.float64)
         with np.errstate(all="ignore"):
@@ -60,7 +61,12 @@ def _prepare():
     return f
 
 
-def _blocks(budget: float):
+def grid(vectors: int) -> int:
+    """Leading dimensions by which a table of so many vectors is dealt out. Any number gives the same links."""
+    return min(BLOCK, max(GRID, int(np.ceil(np.log(max(vectors, 1) / CHUNK) / np.log(CELLS)))))
+
+
+def _blocks(budget: float, axes: int = GRID):
     """Classes (cid, label, dims, unit) to a row for each block and each cell within the block's radius."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +83,7 @@ def _blocks(budget: float):
                 for k, lo in enumerate(range(0, d, BLOCK)):
                     part = np.ascontiguousarray(x[:, lo : lo + BLOCK])
                     radius = np.sqrt(budget * part.shape[1] / d) + SLACK
-                    g = min(GRID, part.shape[1])
+                    g = min(axes, part.shape[1])
                     step = WIDTH * radius
                     low, high = np.floor((part[:, :g] - radius / 2) / step).astype(np.int64), np.floor((part[:, :g] + radius / 2) / step).astype(np.int64)
                     who, cell = np.arange(len(at)), np.zeros((len(at), 0), np.int64)
@@ -85,7 +91,7 @@ def _blocks(budget: float):
                         two = np.flatnonzero(high[who, j] > low[who, j])
                         cell = np.concatenate([np.column_stack([cell, low[who, j]]), np.column_stack([cell[two], high[who[two], j]])])
                         who = np.concatenate([who, who[two]])
-                    flat = cell @ np.array([100_003**j for j in range(g)], np.int64)
+                    flat = (cell.view(np.uint64) @ mix64(np.arange(1, g + 1, dtype=np.uint64))).view(np.int64)  # cells that collide are one
                     n = len(who)
                     yield pa.RecordBatch.from_arrays([pa.array(label[at][who]), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(flat), pa.array(cid[at][who]), pa.array([p.tobytes() for p in part[who]], pa.binary())], names=["label", "dims", "block", "cell", "cid", "part"])
 
@@ -124,10 +130,14 @@ def _verify(cosine: float):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.frombuffer(v, np.float64) for v in b.column(2).to_pylist()]
-            y = [np.frombuffer(v, np.float64) for v in b.column(3).to_pylist()]
-            keep = pa.array([bool(p @ q >= cosine) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(keep)
+            raw = [b.column(i).to_pylist() for i in (2, 3)]
+            size = np.array([len(x) for x in raw[0]], np.int64)
+            linked = np.zeros(b.num_rows, bool)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                x, y = (np.frombuffer(b"".join([r[i] for i in at.tolist()]), np.float64).reshape(len(at), -1) for r in raw)
+                linked[at] = np.einsum("ij,ij->i", x, y) >= cosine
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(linked))
 
     return f
 
@@ -160,7 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = ready.groupBy("label", "dims", "k1", "k2").agg(F.min("row").alias("cid"), F.min("id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = materialize(classes, "emb-classes")
 
-    cells = materialize(map_arrow(classes.select("cid", "label", "dims", "unit"), _blocks(budget), "label long, dims int, block int, cell long, cid long, part binary"), "emb-cells")
+    cells = materialize(map_arrow(classes.select("cid", "label", "dims", "unit"), _blocks(budget, grid(classes.count())), "label long, dims int, block int, cell long, cid long, part binary"), "emb-cells")
     place = ["label", "dims", "block", "cell"]
     sizes = cells.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"s_{c}") for c in place], F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = cells.join(sizes, [F.col(c) == F.col(f"s_{c}") for c in place]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
