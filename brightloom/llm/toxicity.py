@@ -16,7 +16,7 @@ FACTORS = 4
 #: Labelled documents of each class that the machine is fitted on, at most.
 SAMPLE = 4_000
 #: Terms that take part: those that tell the classes apart at this chi-square or more, the best TERMS of them.
-CHI_SQUARE, TERMS = 14.0, 4_096
+CHI_SQUARE, TERMS = 14.0, 1_024
 EPOCHS, RATE, DECAY = 12, 0.2, 1e-4
 THRESHOLD = 0.3
 #: Besides whole words, their beginnings of so many bytes are terms: inflected insults share them.
