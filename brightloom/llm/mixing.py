@@ -94,8 +94,8 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
 
     A source's documents stand in an order drawn by hash. Whole passes over it are taken as often as they fit in the
     target, then a beginning of one more pass, in which SKIPS documents too long for what is left are passed over, then
-    the one document that comes nearest to what is left, if it brings the sum nearer. Documents are taken whole. A copy's position is the time at which the source's schedule has
-    demanded the words before it. Null and blank texts have size 0; a null source is a source of its own, last in order;
+    the one document that comes nearest to what is left, if it brings the sum nearer. Documents are taken whole. A copy's
+    position is the time at which the source's schedule has demanded the words that the mix takes before it. Null and blank texts have size 0; a null source is a source of its own, last in order;
     null ids are ordinary. An empty table gives an empty plan. Equal rows are taken together, so reruns agree.
 
     Running sums go over (source, bucket) and bucket sums are added, so a source of any size spreads over all tasks.
@@ -122,6 +122,7 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
     placed = items.withColumn("inner", F.coalesce(F.sum("words").over(within), F.lit(0)))
     placed = placed.join(offsets, (F.col("bucket") == F.col("o_bucket")) & F.col("source").eqNullSafe(F.col("o_source")))
     placed = placed.select("doc_id", "source", "text_hash", "n_rows", "size", "words", "u", (F.col("offset") + F.col("inner")).alias("before"))
+    placed = placed.withColumn("start", F.col("before"))  # in whole passes no document is passed over
     s = sources.withColumnRenamed("source", "s_source")
     placed = placed.join(small(s), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     passes = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
@@ -142,11 +143,12 @@ def mix_plan(docs: DataFrame, schedule=cyclic_schedule, cap: float = CAP, seed:
     left = placed.groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("words"))), F.lit(0))).alias("left"))
     left = left.withColumnRenamed("source", "l_source")
     fit = placed.where("not more and words > 0").join(small(left), F.col("source").eqNullSafe(F.col("l_source"))).where("words < 2 * left")
-    fit = fit.groupBy(F.col("source").alias("f_source")).agg(F.min(F.struct(F.abs(F.col("words") - F.col("left")).alias("d"), "u", "doc_id", "text_hash")).alias("fit"))
+    fit = fit.groupBy(F.col("source").alias("f_source")).agg(F.min(F.struct(F.abs(F.col("words") - F.col("left")).alias("d"), "u", "doc_id", "text_hash")).alias("fit"), F.max("left").alias("left"))
     plan = placed.join(small(fit), F.col("source").eqNullSafe(F.col("f_source")), "left")
     chosen = F.coalesce((F.col("fit.u") == F.col("u")) & F.col("fit.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("fit.text_hash") == F.col("text_hash")), F.lit(False))
     plan = plan.withColumn("copies", F.col("passes") + (F.col("more") | chosen).cast("long"))
-    share = lambda i: F.coalesce(F.try_divide(i * F.col("source_size") + F.col("before"), F.col("target")), F.lit(0.0))
+    last = F.when(chosen, F.col("rest") - F.col("left")).otherwise(F.col("before"))
+    share = lambda i: F.coalesce(F.try_divide(i * F.col("source_size") + F.when(i < F.col("passes"), F.col("start")).otherwise(last), F.col("target")), F.lit(0.0))
     when = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda i: _invert(F.col("pieces"), F.col("weight"), share(i)))
     plan = plan.withColumn("positions", F.when(F.col("copies") > 0, when).otherwise(F.array().cast("array<double>")))
     return plan.select("doc_id", "source", "text_hash", "n_rows", "size", "source_size", "target", "copies", "positions")

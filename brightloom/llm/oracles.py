@@ -21,7 +21,7 @@ def mix_sql() -> str:
         "found as (select min_by(level, ratio) filter (where level <= ratio) as level from levels)",
         "targets as (select source, ss, w, case when ss > 0 then least(cast(most as double), coalesce(found.level, 0) * w) else 0.0 end as target from ratios, found)",
         "based as (select n.*, ss, w, target, case when ss > 0 then cast(floor(target / ss) as bigint) else 0 end as passes from numbered n join targets t on n.source is not distinct from t.source)",
-        f"p0 as (select *, target - passes * ss as rest, coalesce(sum(words) over ({order}), 0) as before, false as skipped from based)",
+        f"p0 as (select *, target - passes * ss as rest, coalesce(sum(words) over ({order}), 0) as before, coalesce(sum(words) over ({order}), 0) as start, false as skipped from based)",
         "q0 as (select *, before + words <= rest and words > 0 as more from p0)",
     ]
     for i in range(SKIPS):
@@ -32,13 +32,13 @@ def mix_sql() -> str:
         ]
     last = f"q{SKIPS}"
     # the schedule of weight w runs from w * (1 - tilt) to w * (1 + tilt); the time at which it has demanded this share
-    tilt, share = "case w when 1 then 0.5::double when 3 then -0.5::double else 0.0::double end", "coalesce(before / nullif(target, 0), 0)"
+    tilt, share = "case w when 1 then 0.5::double when 3 then -0.5::double else 0.0::double end", "coalesce(case when passes > 0 then start when rn = fit then rest - lft else before end / nullif(target, 0), 0)"
     first, left = f"(w * (1 - {tilt}))", f"(least(greatest({share}, 0), 1) * w)"
     position = f"least(2 * {left} / ({first} + sqrt({first} * {first} + 2 * (2 * w * {tilt}) * {left})), 1)"
     steps += [
         f"lefts as (select source as ls, max(rest) - coalesce(sum(words) filter (where more), 0) as lft from {last} group by source)",
-        f"fits as (select source as fs, arg_min(rn, {{'d': abs(words - lft), 'rn': rn}}) as fit from {last} join lefts on source is not distinct from ls where not more and words > 0 and words < 2 * lft group by source)",
-        f"plan as (select q.*, passes + cast(more or coalesce(rn = fit, false) as bigint) as copies from {last} q left join fits on source is not distinct from fs)",
+        f"fits as (select source as fs, arg_min(rn, {{'d': abs(words - lft), 'rn': rn}}) as fit, max(lft) as lft from {last} join lefts on source is not distinct from ls where not more and words > 0 and words < 2 * lft group by source)",
+        f"plan as (select q.*, fit, lft, passes + cast(more or coalesce(rn = fit, false) as bigint) as copies from {last} q left join fits on source is not distinct from fs)",
     ]
     return f"with {', '.join(steps)} select doc_id, size, ss as source_size, target, size * copies as taken, copies, case when copies > 0 then round({position}, 9) end as first_position from (select *, unnest(range(n_rows)) from plan)"
 
