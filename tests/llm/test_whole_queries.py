@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import common, language, lm, mixing, oracles, queries, toxicity
+from brightloom.llm import common, language, lm, mixing, oracles, quality, queries, toxicity
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_operators import DOCS, WORD_BPE, library, log_p, prose, shingle_set  # noqa: E402
@@ -286,3 +286,35 @@ def test_each_stage_equals_its_brute_force(spark, sf, duck):
         want[r["doc_id"], r["lang"], r["source"], r["n_chars"], len(ids), tuple(ids), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert collections.Counter((r["doc_id"], r["lang"], r["source"], r["n_chars"], r["n_tokens"], tuple(r["token_ids"]), r["decoded_sha256"]) for r in after) == want
     assert WORD_BPE
+
+
+# op4
+
+
+def test_quality_ranking_is_the_least_loss_over_pairs():
+    """At the learnt weights no step along any feature lowers the logistic loss over the drawn pairs plus the ridge."""
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(300, 5)), (r.random(300) < 0.7).astype(int)
+    x[:, 0] += 0.8 * y
+    x[:, 3] -= 0.5 * y
+    m = quality.fit(x, y, {0: 300, 1: 700}, pairs=9_000)
+    draw = np.random.default_rng(4)
+    a, b = draw.choice(np.flatnonzero(y == 1), 9_000), draw.choice(np.flatnonzero(y == 0), 9_000)
+    z = np.clip((x - m.mean) / m.scale, -6, 6)
+    loss = lambda w: np.mean(np.log1p(np.exp(-(z[a] - z[b]) @ w))) + quality.RIDGE / 2 * w @ w
+    least = loss(m.weight)
+    assert all(loss(m.weight + e * np.eye(5)[k]) >= least - 1e-12 for k in range(5) for e in (-1e-3, 1e-3, -0.1, 0.1)) and least < np.log(2) - 0.05
+    below = (z @ m.weight < m.cut)
+    share = np.where(y == 0, 0.3 / (y == 0).sum(), 0.7 / (y == 1).sum())
+    assert share[below].sum() == pytest.approx(0.3, abs=0.02)
+
+
+def test_quality_query_equals_each_text_alone(spark, sf, duck):
+    ranking = quality.train(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_quality"](spark, sf).collect()}
+    rows = duck.sql("select doc_id, text from documents").fetchall()
+    assert len(got) == len(rows)
+    for i, text in rows:
+        (score,) = ranking.score(pa.array([text], pa.string()))
+        assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["predicted"] == int(score >= quality.THRESHOLD)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
