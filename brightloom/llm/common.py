@@ -130,9 +130,10 @@ class Words:
         closes[offsets[1:][offsets[1:] > 0] - 1] = True
         self.start = np.flatnonzero(opens[:n] & ~space)
         self.end = np.flatnonzero(closes & ~space) + 1
-        p = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * p[:n], out=sums[1:])
+        np.take(_BYTE_LOWER if lower else _BYTE, self.data, out=sums[1:], mode="clip")
+        sums[1:] *= _powers(n)  # in place: a text may be long
+        np.cumsum(sums[1:], out=sums[1:])
         back = _powers_back(n + 1)
         self._sums, self._back = sums, back
         self.hash = self.part(self.start, self.end)

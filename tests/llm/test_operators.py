@@ -623,6 +623,29 @@ def test_language_holds_out(spark, docs, empty, clashing):
     assert language.language(docs, language.train(empty, PIECES)).where("lang_pred = 'und'").count() == docs.count()
 
 
+# long documents
+
+
+def test_documents_of_megabytes(spark):
+    """A document of 3 MB beside short ones, through the operators that hold a text as one array."""
+    big = " ".join(prose(1_000, 70_000 + i) for i in range(600))
+    assert len(big) > 3_000_000
+    rows = [(1, big, "en", "s", 1), (2, big + " more", "en", "s", 1), (3, prose(50, 3), "de", "s", 1), (4, prose(60, 4), "en", "s", 1), (5, prose(50, 3), "de", "s", 1)]
+    table = spark.createDataFrame(rows, DOCS).repartition(2)
+    near = {r["doc_id"]: r for r in minhash.near_duplicates(table, shingle=4).collect()}
+    assert near[1]["n_shingles"] == len(shingle_set(big, 4)) and [near[i]["component_id"] for i in range(1, 6)] == [1, 1, 3, 4, 3]
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(table).collect()}
+    assert cut == {1: (600_000, 0), 2: (600_001, 600_000), 3: (50, 0), 4: (60, 0), 5: (50, 50)}
+    scored = {r["doc_id"]: r for r in lm.lm_score(table, lm.train(table)).collect()}
+    assert scored[1]["n_tokens"] == scored[1]["n_known"] == 600_001 and scored[2]["score"] < scored[1]["score"] < scored[4]["score"]
+    found = {r["doc_id"]: r for r in language.language(table, language.train(table, PIECES)).collect()}
+    assert found[1]["lang_pred"] == found[2]["lang_pred"] == "en"
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 6)], LABELS)
+    for module, name in ((quality, "quality"), (toxicity, "toxicity")):
+        scores = [r[0] for r in getattr(module, name)(table, module.train(table, labels)).select(f"{'quality' if name == 'quality' else 'toxic'}_score").collect()]
+        assert len(scores) == 5 and all(0 <= x <= 1 for x in scores)
+
+
 # pipeline
 
 
