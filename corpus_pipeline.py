@@ -12,31 +12,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine rejects go."""
+    """Documents that the factorization machine rejects go.
+
+    Null, empty and unknown texts have the score of no terms and stay; rows that repeat are judged alike; with no labels
+    nothing is rejected; an empty table gives an empty one.
+    """
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.toxicity(docs, machine).where("toxic_predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
+    """One document of each group of near-duplicates stays: that of the smallest id.
+
+    Null and blank texts are near nothing and stay, each row of them; of rows that repeat an id and its text one stays; rows
+    with a null id stay. An empty table gives an empty one.
+    """
     seen = minhash.near_duplicates(docs, carry_text=True)
     return seen.where("single").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a document with a smaller id has go; documents left without words go as well."""
+    """Words of passages that a document with a smaller id has go; documents left without words go as well.
+
+    A document that had no words, null texts included, stays as it was, and so does one with a null id; rows of one id take
+    nothing from each other. n_chars counts the new text, null of a null one. An empty table gives an empty one.
+    """
     out = substrings.substring_dedup(docs)
     out = out.where("n_words = 0 or n_removed < n_words")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, in training order."""
+    """The documents that the mix takes, as often as it takes them, in training order.
+
+    Documents without words are taken as often as their source's whole passes; a null source is a source of its own; equal
+    rows are taken equally often; equal positions are ordered by source, id and text. An empty table gives an empty one.
+    """
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, the decoded text's digest, and the documents' other columns."""
+    """Token ids of each text, the decoded text's digest, and the documents' other columns.
+
+    Null and blank texts have no tokens and the digest of the empty text; each row is encoded for itself.
+    """
     import public_tokenizers
 
     out = bpe.bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
