@@ -82,17 +82,45 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_POWERS = np.ones(1, np.uint64)
+#: Places whose powers are one table; those behind are products of two entries.
+_TABLE_BITS = 20
 
 
-def _powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 to n - 1, modulo 2^64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        x = np.full(max(n, 1 << 20), _BASE, np.uint64)
+class _Powers:
+    """Powers of a 64-bit number by place, modulo 2^64, without an entry for each place of a long text."""
+
+    def __init__(self, base: int):
+        self.near = self._run(base)
+        self.step, self.far = pow(base, 1 << _TABLE_BITS, 1 << 64), np.ones(1, np.uint64)
+
+    @staticmethod
+    def _run(base: int) -> np.ndarray:
+        x = np.full(1 << _TABLE_BITS, base, np.uint64)
         x[0] = 1
-        _POWERS = np.cumprod(x)
-    return _POWERS[:n]
+        return np.cumprod(x)
+
+    def _reach(self, place: int) -> None:
+        while len(self.far) <= place >> _TABLE_BITS:
+            self.far = np.append(self.far, np.uint64(int(self.far[-1]) * self.step % (1 << 64)))
+
+    def multiply(self, values: np.ndarray) -> None:
+        """Multiplies each value by the power of its place, in place."""
+        self._reach(len(values))
+        for at in range(0, len(values), 1 << _TABLE_BITS):
+            part = values[at : at + (1 << _TABLE_BITS)]
+            part *= self.near[: len(part)]
+            if at:
+                part *= self.far[at >> _TABLE_BITS]
+
+    def at(self, places: np.ndarray, most: int) -> np.ndarray:
+        """The powers of places up to ``most``."""
+        if most < 1 << _TABLE_BITS:
+            return self.near[places]
+        self._reach(most)
+        return self.near[places & ((1 << _TABLE_BITS) - 1)] * self.far[places >> _TABLE_BITS]
+
+
+_POWERS, _INVERSE = _Powers(int(_BASE)), _Powers(pow(int(_BASE), -1, 1 << 64))
 
 
 def _marks(data: np.ndarray) -> np.ndarray:
@@ -132,16 +160,15 @@ class Words:
         self.end = np.flatnonzero(closes & ~space) + 1
         sums = np.zeros(n + 1, np.uint64)
         np.take(_BYTE_LOWER if lower else _BYTE, self.data, out=sums[1:], mode="clip")
-        sums[1:] *= _powers(n)  # in place: a text may be long
+        _POWERS.multiply(sums[1:])  # in place: a text may be long
         np.cumsum(sums[1:], out=sums[1:])
-        back = _powers_back(n + 1)
-        self._sums, self._back = sums, back
+        self._sums = sums
         self.hash = self.part(self.start, self.end)
         self.range = np.searchsorted(self.start, offsets)
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of runs of bytes: equal bytes, equal hash."""
-        return mix64((self._sums[end] - self._sums[start]) * self._back[start] + (end - start).astype(np.uint64))
+        return mix64((self._sums[end] - self._sums[start]) * _INVERSE.at(start, len(self._sums)) + (end - start).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.range) - 1
@@ -156,19 +183,6 @@ class Words:
         return (np.repeat(self.range[1:], np.diff(self.range))[:n] - np.arange(n)) >= k
 
 
-_BACK = np.ones(1, np.uint64)
-
-
-def _powers_back(n: int) -> np.ndarray:
-    """Inverses of _powers."""
-    global _BACK
-    if len(_BACK) < n:
-        x = np.full(max(n, 1 << 20), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        x[0] = 1
-        _BACK = np.cumprod(x)
-    return _BACK[:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and each text's offsets (one more than texts); a null has none."""
     if column.null_count:

@@ -626,6 +626,18 @@ def test_language_holds_out(spark, docs, empty, clashing):
 # long documents
 
 
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    """Words far behind in a text have the hashes that they have at its start, across the tables' ends."""
+    import pyarrow as pa
+
+    from brightloom.llm import common
+
+    text = " ".join(prose(400, 5) for _ in range(1_500))
+    assert len(text) > 3 << common._TABLE_BITS
+    far, near = common.Words(pa.array(["x", text]), lower=True), common.Words(pa.array([text[: len(prose(400, 5))]]), lower=True)
+    assert (far.hash[1:].reshape(1_500, 400) == near.hash).all()
+
+
 def test_documents_of_megabytes(spark):
     """A document of 3 MB beside short ones, through the operators that hold a text as one array."""
     big = " ".join(prose(1_000, 70_000 + i) for i in range(600))
