@@ -318,3 +318,46 @@ def test_quality_query_equals_each_text_alone(spark, sf, duck):
         (score,) = ranking.score(pa.array([text], pa.string()))
         assert got[i]["score"] == pytest.approx(score, abs=1e-9) and got[i]["predicted"] == int(score >= quality.THRESHOLD)
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_quality_learns_from_all_labelled_documents_and_pairs(spark):
+    """Means, weights and cut are those of all labelled texts that are not held out: no step lowers the loss over all pairs
+    of the classes, and as many texts lie below the cut as have label 0."""
+    rng, rows, given = random.Random(8), [], {}
+    for i in range(6_400):
+        bad = i % 16 == 0
+        text = prose(3 + i % 9, i) + (" !! WIN" if rng.random() < (0.7 if bad else 0.1) else "")
+        rows.append((i, text, "en", "s", 1))
+        given[i] = 0 if bad else 1
+    rows += [(6_400 + i, "the same few words", "en", "s", 1) for i in range(40)]
+    given |= {6_400 + i: i % 2 for i in range(40)}
+    labels = spark.createDataFrame([*((i, y, 0) for i, y in given.items()), (3, None, None), (None, 0, 0), (9_999, 0, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
+    given.pop(5)  # its largest label is no class
+    m = quality.train(spark.createDataFrame(rows, DOCS).repartition(3), labels)
+    own = [r for r in rows if r[0] in given and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = quality.features(pa.array([r[1] for r in own])), np.array([given[r[0]] for r in own])
+    assert (y == 1).sum() > 4_000 and m.mean == pytest.approx(x.mean(0), abs=1e-9)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -6, 6)
+    s = z @ m.weight
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))  # of each pair, that the worse one wins
+    slope = -(p.mean(1) @ z[y == 1]) / (y == 1).sum() + (p.mean(0) @ z[y == 0]) / (y == 0).sum() + quality.RIDGE * m.weight
+    assert np.abs(slope).max() < 1e-8 and np.abs(m.weight).max() > 0.05
+    raw = np.sort(m.raw(x))
+    assert m.cut == pytest.approx((raw[(y == 0).sum() - 1] + raw[(y == 0).sum()]) / 2, abs=1e-9)
+
+
+def test_quality_in_memory_counts_all_pairs_and_places_of_scores():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(400, 4)) * [1, 30, 1e-3, 1], (r.random(400) < 0.8).astype(int)
+    x[:, 0] += 3 * y
+    m = quality.fit(x, y, {0: (y == 0).sum(), 1: (y == 1).sum()})
+    z = np.clip((x - m.mean) / m.scale, -6, 6)
+    a, b = z[y == 1][:, None], z[y == 0][None]
+    loss = lambda w: np.logaddexp(0, -((a - b) @ w)).mean() + quality.RIDGE / 2 * w @ w
+    assert all(loss(m.weight + e * np.eye(4)[k]) > loss(m.weight) for k in range(4) for e in (-1e-4, 1e-4))
+    n, raw = (y == 0).sum(), np.sort(z @ m.weight)
+    assert m.cut == pytest.approx((raw[n - 1] + raw[n]) / 2, abs=1e-12)
+    s = np.concatenate([r.normal(size=500) * 10.0 ** r.integers(-9, 9, 500), np.zeros(40), [-0.0, 5e-324, -5e-324]])
+    ranks = [0, 1, 250, 270, 541, 542]
+    found = quality._ranked(lambda f: quality._add(iter([(s[:, None], np.ones(len(s), int))]), f), lambda x: x[:, 0], ranks)
+    assert found == np.sort(s)[ranks].tolist()
